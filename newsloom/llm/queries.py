@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fingerprints, mixing, quality, simhash, urls
+from newsloom.llm import chat, fingerprints, mixing, packing, quality, simhash, urls
 from newsloom.llm.common import table
 
 
@@ -19,6 +20,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
+    """The text of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_text())
+
+
 #: (verdict, host/path) of the registered URL filter.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -47,6 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
+    "op4_pack": op4_pack,
     "op7_urls": op7_urls,
     "op8_mix": op8_mix,
     "op9_simhash": op9_simhash,
