@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fingerprints, mixing, packing, quality, simhash, urls
+from newsloom.llm import chat, fingerprints, language, mixing, packing, quality, simhash, toxicity, urls
 from newsloom.llm.common import table
 
 
@@ -20,6 +20,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from labelled rows that are not held out."""
+    return toxicity.fit(documents, labels.where(~toxicity.held_out(F.col("doc_id"))))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
     """The text of an installed public tokenizer file."""
     import public_tokenizers
@@ -31,6 +42,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_text())
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents.where(~language.held_out(F.col("doc_id"))))
+    return language.identify(documents.select("doc_id", "text"), model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 #: (verdict, host/path) of the registered URL filter.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -59,7 +76,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
+    "op5_language": op5_language,
     "op7_urls": op7_urls,
     "op8_mix": op8_mix,
     "op9_simhash": op9_simhash,
