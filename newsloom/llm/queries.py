@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fingerprints, language, mixing, packing, quality, simhash, toxicity, urls
+from newsloom.llm import chat, fingerprints, language, mixing, packing, pii, quality, simhash, toxicity, urls
 from newsloom.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.select("doc_id", "text"), model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), pii.fit(spark))
+
+
 #: (verdict, host/path) of the registered URL filter.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_language": op5_language,
+    "op6_pii": op6_pii,
     "op7_urls": op7_urls,
     "op8_mix": op8_mix,
     "op9_simhash": op9_simhash,
