@@ -37,10 +37,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(filled(text), F.lit("[^ \t-\r]+")).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, source) -> (doc_id, size, source, source_size, target, copies, taken), a row for each row of docs.
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+    """What mix() returns, with the number u of each document.
 
-    Every document of a source is wanted target / source_size times: the whole part of that is allocated as certain whole
+    (doc_id, text, source): every document of a source is wanted target / source_size times: the whole part of that is allocated as certain whole
     copies; the rest is its inclusion probability for one copy more. Documents are ranked by u / (1 - u) over p / (1 - p),
     u being a uniform number hashed from the seed, doc_id and the text, and one more copy goes down the ranking for as many
     words as the target still lacks. Ranks are taken bucket by bucket of u: buckets whose words all fit are taken whole,
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_CO
     whole = cutting.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn("more", (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))).cast("int"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     edge = cutting.where(F.col("bucket") == F.col("cut")).withColumn("rank", F.when(F.col("p") > 0, odds).otherwise(F.col("u")))
-    columns = ["doc_id", "size", "source", "source_size", "target", "certain"]
+    columns = ["doc_id", "u", "size", "source", "source_size", "target", "certain"]
     gathered = edge.groupBy("key", "room").agg(F.sort_array(F.collect_list(F.struct("rank", *columns))).alias("ranked"))
     state = F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("more"))
     fill = F.aggregate("ranked", state, lambda s, x: F.struct((s["room"] - F.when(x["size"] <= s["room"], x["size"]).otherwise(0)).alias("room"), F.concat(s["more"], F.array((x["size"] <= s["room"]).cast("int"))).alias("more")))
@@ -79,4 +79,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_CO
     filled_ = nearest.select("ranked", more.alias("more")).select(F.explode(F.arrays_zip("ranked", "more")).alias("x")).select(*(F.col(f"x.ranked.{c}").alias(c) for c in columns), F.col("x.more").alias("more"))
     both = whole.select(*columns, "more").unionByName(filled_.select(*columns, "more"))
     copies = F.least(F.col("certain") + F.col("more"), F.lit(limit)).cast("int")
-    return both.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "u", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+    """(doc_id, text, source) -> (doc_id, size, source, source_size, target, copies, taken), a row for each row of docs: how
+    many copies of each document the mix takes, and how many words that is. See _mixed() for the method and the cases."""
+    return _mixed(docs, weights, limit, seed).drop("u")
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, text, source, ...) with each row as many times as the mix takes it; rows it does not take go, rows without
+    words stay once. Rows that agree in doc_id, text and source are interchangeable: one of them stands for all."""
+    key = ["doc_id", "__s", "__u"]
+    mixed = _mixed(docs, weights, limit, seed).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")))
+    mixed = mixed.groupBy("doc_id", F.col("source").alias("__s"), F.col("u").alias("__u")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    marked = docs.withColumns({"__s": F.col("source"), "__u": uniform(F.lit(seed), F.col("doc_id"), F.col("text"))})
+    same = [marked[c].eqNullSafe(mixed[c]) for c in key]
+    joined = marked.join(mixed, same[0] & same[1] & same[2]).select(*(docs[c] for c in docs.columns), marked["__u"].alias("__u"), "__copies", "__rows").where("__copies > 0")
+    single = joined.where("__rows = 1").drop("__u", "__rows")
+    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
+    repeated = joined.where("__rows > 1").groupBy("doc_id", "source", "__u").agg(F.min(F.struct("__copies", *rest)).alias("x")).select("doc_id", "source", "x.*").select(*docs.columns, "__copies")
+    return single.unionByName(repeated).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
