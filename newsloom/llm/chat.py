@@ -20,7 +20,8 @@ _HIDE = re.compile("|".join(map(re.escape, (ESCAPE, "###", "</turn>"))))
 _HIDE_ROLE = re.compile("|".join(map(re.escape, _GUARDED)))
 _SHOW = re.compile(re.escape(ESCAPE) + "(" + "|".join(map(re.escape, _GUARDED)) + ")")
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*?): ((?:\\.|[^\\])*?) </turn>\n", re.S)
-MAX_ROUNDS = 10_000
+#: A tree deeper than two to this power is taken for a cycle.
+MAX_ROUNDS = 40
 
 
 def hide(text: str, role: bool = False) -> str:
@@ -59,36 +60,44 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """Reply trees (tree, node, parent, score) to chosen root-to-leaf paths (tree, branch, depth, node).
 
-    Iterative self-joins: a path starts as its leaf, and each round joins every unfinished path to its upper end's parent,
-    so texts never move and rounds are as many as the deepest tree's levels; each round is written to the shared folder.
-    Paths of a tree are ranked by their summed score (null scores are 0), then by length, then by leaf, greater first for
-    the first two; ``keep`` of them stay, branch 1 the best. A node whose parent is null or absent is a root; a cycle
-    raises after MAX_ROUNDS; repeated (tree, node) rows are one node, the one with the best score and least parent.
+    Iterative self-joins that double their reach: round k joins every node's ancestor 2**k steps up to that ancestor's own,
+    so a tree of depth d takes log2(d) rounds, gives every leaf its depth and summed score, and leaves a table of jumps.
+    The chosen leaves then gather their ancestors by the same jumps, longest first. Texts never move; each round is
+    written to the shared folder, in proportion to the nodes so deep. Paths of a tree are ranked by summed score (null
+    scores are 0), then by length, then by leaf, greater first for the first two; ``keep`` of them stay, branch 1 the best.
+    A node whose parent is null or absent is a root; a cycle raises after MAX_ROUNDS; repeated (tree, node) rows are one
+    node, the one with the best score and least parent.
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = stash(nodes.groupBy("tree", "node").agg(F.max_by(F.struct("parent", "score"), F.struct("score", -F.coalesce("parent", F.lit(-1)))).alias("x")).select("tree", "node", "x.parent", "x.score"), "replies")
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    linked = nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), "score")
-    linked = stash(linked, "replies-linked")
-    inner = linked.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    front = linked.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.lit(0).alias("up"), "node", "parent", "score")
-    up = linked.select("tree", F.col("node").alias("at"), F.col("parent").alias("next"), F.col("score").alias("more"))
-    rounds = []
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
+    linked = nodes.join(known, ["tree", "parent"], "left")
+    state = linked.select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.when(F.col("found"), 1).otherwise(0).cast("long").alias("depth"), "score")
+    jumps, done = [], []
     while True:
-        front = stash(front, "replies-round")
-        rounds.append(front)
-        if len(rounds) > MAX_ROUNDS:
-            raise ValueError("the replies contain a cycle")
-        if front.where("parent is not null").isEmpty():
+        state = stash(state, "replies-round")
+        done.append(state.where("up is null").select("tree", "node", "depth", "score"))
+        far = state.where("up is not null")
+        if far.isEmpty():
             break
-        on = (front.tree == up.tree) & (front.parent == up.at)
-        front = front.join(up, on).select(front.tree, "leaf", (F.col("up") + 1).alias("up"), F.col("at").alias("node"), F.col("next").alias("parent"), (F.col("score") + F.col("more")).alias("score"))
-    steps = rounds[0]
-    for r in rounds[1:]:
-        steps = steps.unionByName(r)
-    tops = steps.where("parent is null").select("tree", "leaf", F.col("up").alias("top"), "score")
-    ranked = tops.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("top"), "leaf"))).where(F.col("branch") <= keep)
-    return steps.join(ranked.select("tree", "leaf", "top", "branch"), ["tree", "leaf"]).select("tree", "branch", (F.col("top") - F.col("up")).alias("depth"), "node")
+        if len(jumps) == MAX_ROUNDS:
+            raise ValueError("the replies contain a cycle")
+        jumps.append(far.select("tree", "node", "up"))
+        # nodes whose way to the root is complete are looked up as well
+        above = far.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("gain"))
+        for d in done:
+            above = above.unionByName(d.select("tree", F.col("node").alias("up"), F.lit(None).cast("long").alias("next"), F.col("depth").alias("more"), F.col("score").alias("gain")))
+        state = far.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("gain")).alias("score"))
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else whole.limit(0).select("tree", "node")
+    ranked = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node")
+    front = whole.join(inner, ["tree", "node"], "left_anti").withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= keep).select("tree", "branch", "node")
+    for jump in reversed(jumps):
+        front = stash(front, "replies-path")
+        front = front.unionByName(front.join(jump, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node")))
+    return front.join(whole.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "branch", "depth", "node")
 
 
 def chain(conversations: DataFrame, extra: DataFrame | None = None) -> DataFrame:

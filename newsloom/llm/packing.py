@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,7 +26,7 @@ LEAST_PIECE = 16
 #: Packs with more padding than this are laid out as sequences of a power of two, which need none.
 MOST_PADDING = 64
 #: Distinct chunks of text whose ids a worker keeps; beyond, it forgets them all.
-CACHE = 400_000
+CACHE = 800_000
 _TOKENIZERS: dict[int, tuple] = {}
 
 
@@ -147,25 +148,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, least: int = LEAST
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space, so chunks between spaces and line feeds are encoded apart and remembered.
+    The tokenizer folds case, drops white space and starts a token between a letter and a full stop or comma, so chunks
+    between spaces and line feeds are encoded apart, in lower case, without such an ending, and remembered.
     """
 
     def __init__(self, tokenizer: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor's cores already have a task each
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
+
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {"": b""}
-        for own in chunks:
-            new = list(set(own).difference(self.known))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+            self.known = {}
+        known = self.known
+        new = set().union(*chunks).difference(known)
+        parts = {c: (c[:-1], c[-1:]) if c[-1:] in (b".", b",") and c[-2:-1].isalpha() else (c,) for c in new}
+        fresh = [c for c in {p for own in parts.values() for p in own} if c not in known]
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            known.update(zip(part, self.ids(part), strict=True))
+        known.update((c, b"".join(known[p] for p in own)) for c, own in parts.items() if len(own) > 1)
+        get = known.__getitem__
         return [b"".join(map(get, own)) for own in chunks]
 
 
@@ -193,9 +202,9 @@ def tokens(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         part, row, whole, places = TaskContext.get().partitionId(), 0, 0, Counter()
         last, step = np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), 512):
                 out = defaultdict(list)
-                few = batch.iloc[at : at + 256]
+                few = batch.iloc[at : at + 512]
                 for doc_id, ids in zip(few["doc_id"], encoder.encode(list(few["text"])), strict=True):
                     ids += last  # noqa: PLW2901
                     n = len(ids) // 4
