@@ -346,11 +346,11 @@ def signals_by_severity_type(spark, sf_dir):  # noqa: ANN001, ANN201
     return signals.counts(_signals(spark, sf_dir))
 
 
-_REVIEWS_CTE = "reviews AS (SELECT 's' || (event_id % 50) AS signal_id, ts AS at, event_id AS ord, event_id % 3 <> 0 AS reviewed, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS false_positive, CASE WHEN event_id % 5 = 0 THEN 'note ' || event_id ELSE '' END AS notes FROM events WHERE event_id < 400)"
+_REVIEWS_CTE = "reviews AS (SELECT 's' || (event_id % 50) AS signal_id, ts AS moment, event_id AS ord, event_id % 3 <> 0 AS reviewed, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS false_positive, CASE WHEN event_id % 5 = 0 THEN 'note ' || event_id ELSE '' END AS notes FROM events WHERE event_id < 400)"
 
 
-@query("signal_review_merge", f"""WITH {_REVIEWS_CTE}, s AS (SELECT 's' || i AS signal_id FROM range(60) t(i)) SELECT s.signal_id, coalesce(arg_max(reviewed, (at, ord)), false) AS reviewed,
-  arg_max(false_positive, (at, ord)) FILTER (false_positive IS NOT NULL) AS false_positive, arg_max(notes, (at, ord)) FILTER (notes <> '') AS analyst_notes FROM s LEFT JOIN reviews USING (signal_id) GROUP BY s.signal_id""")
+@query("signal_review_merge", f"""WITH {_REVIEWS_CTE}, s AS (SELECT 's' || i AS signal_id FROM range(60) t(i)) SELECT s.signal_id, coalesce(arg_max(reviewed, row(moment, ord)), false) AS reviewed,
+  arg_max(false_positive, row(moment, ord)) FILTER (false_positive IS NOT NULL) AS false_positive, arg_max(notes, row(moment, ord)) FILTER (notes <> '') AS analyst_notes FROM s LEFT JOIN reviews USING (signal_id) GROUP BY s.signal_id""")
 def signal_review_merge(spark, sf_dir):  # noqa: ANN001, ANN201
     e = F.col("event_id")
     reviews = _read(spark, sf_dir, "events").where(e < 400).select(F.concat(F.lit("s"), (e % 50).cast("string")).alias("signal_id"), F.col("ts").alias("at"), e.alias("ord"), (e % 3 != 0).alias("reviewed"), F.when(e % 4 == 0, e % 8 == 0).alias("false_positive"), F.when(e % 5 == 0, F.concat(F.lit("note "), e.cast("string"))).otherwise("").alias("notes"))
