@@ -25,6 +25,8 @@ END = 2
 LEAST_PIECE = 16
 #: Packs with more padding than this are laid out as sequences of a power of two, which need none.
 MOST_PADDING = 64
+#: Chunks that are encoded as one text, parted by a token that the tokenizer cuts out before all else.
+JOINED = 64
 #: Distinct chunks of text whose ids a worker keeps; beyond, it forgets them all.
 CACHE = 800_000
 _TOKENIZERS: dict[int, tuple] = {}
@@ -157,10 +159,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.between = next(((n, t.content) for n, t in added if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+
+    def alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """The ids of each chunk. An added token is cut out before anything is normalised or merged, so the chunks between
+        are encoded as they are alone; those that could hold part of one, or the end of one, are encoded alone."""
+        texts = [c.decode() for c in chunks]
+        if self.between is None:
+            return self.alone(texts)
+        mark, sign = self.between
+        apart = [i for i, t in enumerate(texts) if sign[0] in t or sign[-1] in t]
+        out = dict(zip(apart, self.alone([texts[i] for i in apart]), strict=True))
+        rest = [i for i in range(len(texts)) if i not in out]
+        groups = [rest[at : at + JOINED] for at in range(0, len(rest), JOINED)]
+        found = self.tokenizer.encode_batch_fast([sign.join(map(texts.__getitem__, g)) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            own = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(own == mark).tolist(), len(own)]
+            if len(ends) != len(group):
+                out.update(zip(group, self.alone([texts[i] for i in group]), strict=True))
+                continue
+            data, start = own.tobytes(), 0
+            for i, end in zip(group, ends, strict=True):
+                out[i] = data[4 * start : 4 * end]
+                start = end + 1
+        return [out[i] for i in range(len(texts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
@@ -168,12 +195,12 @@ class Encoder:
             self.known = {}
         known = self.known
         new = set().union(*chunks).difference(known)
-        parts = {c: (c[:-1], c[-1:]) if c[-1:] in (b".", b",") and c[-2:-1].isalpha() else (c,) for c in new}
-        fresh = [c for c in {p for own in parts.values() for p in own} if c not in known]
+        parts = {c: (c[:-1], c[-1:]) for c in new if c.endswith((b".", b",")) and c[-2:-1].isalpha()}
+        fresh = list(new.difference(parts).union(*parts.values()).difference(known))
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             known.update(zip(part, self.ids(part), strict=True))
-        known.update((c, b"".join(known[p] for p in own)) for c, own in parts.items() if len(own) > 1)
+        known.update((c, known[bare] + known[sign]) for c, (bare, sign) in parts.items())
         get = known.__getitem__
         return [b"".join(map(get, own)) for own in chunks]
 
