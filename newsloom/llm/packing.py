@@ -160,6 +160,7 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
         added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.added = [t.content.encode().lower() for _, t in added]
         self.between = next(((n, t.content) for n, t in added if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
 
     def alone(self, chunks: list[str]) -> list[bytes]:
@@ -190,7 +191,10 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        lowered = [t.encode().lower() for t in texts]
+        # an added token counts only as it is written, so texts that have one in any case are encoded whole
+        whole = [i for i, t in enumerate(lowered) if any(a in t for a in self.added)]
+        chunks = [t.replace(b"\n", b" ").split(b" ") for t in lowered]
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
@@ -202,7 +206,10 @@ class Encoder:
             known.update(zip(part, self.ids(part), strict=True))
         known.update((c, known[bare] + known[sign]) for c, (bare, sign) in parts.items())
         get = known.__getitem__
-        return [b"".join(map(get, own)) for own in chunks]
+        out = [b"".join(map(get, own)) for own in chunks]
+        for i, ids in zip(whole, self.alone([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 def _encoder(tokenizer) -> Encoder:  # noqa: ANN001

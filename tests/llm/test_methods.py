@@ -111,6 +111,14 @@ def test_packing_round_trip(spark, docs):
     assert held / padded > 0.99
 
 
+def test_encoder_gives_the_ids_of_whole_texts():
+    encoder = packing.Encoder(queries.tokenizer_text())
+    texts = ["", ".", "a.", "a..", "x, Y. É. ı,", "it's. 1.", "<", "a<| b|> >", "A<|StartOfText|>b", "<|startoftext|>x <|ENDOFTEXT|>", "á b\nc\td\u00a0e"]
+    texts = [*texts, " ".join(texts), "\n".join(texts * 30)]
+    for ids, text in zip(encoder.encode(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_plan_keeps_counts():
     draw = random.Random(1)
     histogram = {n: draw.randint(1, 40) for n in draw.sample(range(1, 4096), 200)}
