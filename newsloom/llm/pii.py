@@ -24,17 +24,24 @@ BASE = {
 _AT = r"(?:@| ?\[at\] ?| ?\(at\) ?| at )"
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
 #: Generators of candidates: addresses however spelled, digits with up to two signs between, digits without blanks, octets.
+#: A match of one in PARTS is a run of digit groups (and a letter or digit that touches its end), of which parts are proposed.
 GENERATORS = (
     rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
-    r"(?<![0-9A-Za-z+(])[+(]{0,2}[0-9](?:[ ()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z+(])[+(]{0,2}[0-9](?:[ ()./-]{0,2}[0-9]){6,}+[A-Za-z]?",
     r"(?<![0-9A-Za-z./-])[0-9](?:[./-]?[0-9]){6,}+(?![0-9A-Za-z])",
-    r"(?<![0-9A-Za-z])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3,}+[0-9A-Za-z]?",
 )
+_GROUP = r"[+(]{0,2}[0-9]++(?![A-Za-z])"
+#: Most digit groups of a part, and what a part is like.
+PARTS = {1: (19, r"^(?:[^0-9]*[0-9]){7,19}$"), 3: (4, r"^[0-9]{1,3}(?:[^0-9]+[0-9]{1,3}){3}$")}
 #: Words before a span that tell its kind, by context code 1 to 5.
 CONTEXT = (r"(tel|phone|call|mobile|fax|cell|dial)", r"(e-?mail|contact|write|reach)", r"(card|visa|mastercard|amex|credit|account)", r"(\bip\b|addr|host|server|gateway)", r"(version|isbn|order|licen|no\.|serial|price|page|date|\$|€)")
-NAMES = ("generator", "digits", "groups", "longest", "signs", "lead", "luhn", "octets", "context", "spelled")
+NAMES = ("generator", "digits", "groups", "longest", "signs", "lead", "luhn", "octets", "context", "spelled", "first", "last", "shape", "before")
+#: Lengths of digit groups that telephone and card numbers are often written in, by shape code 1 to 4.
+SHAPES = (r"^ ?3 3 4$", r"^\+[1-3] 3 3 4$", r"^ 4 (4 4 4|6 [45])$", r"^ 1[2-9]$")
 CONTEXT_CHARS = 24
 _SPAN = "array<struct<s:int,e:int,m:string>>"
+_PART = "array<struct<s:int,e:int,m:string,before:int,after:int>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -75,8 +82,28 @@ def base(text: Column) -> list[Column]:
     return [F.filter(spans(text, BASE[k], guard[k]), valid(k)).alias(k) for k in KINDS]
 
 
+def parts(runs: Column, most: int, like: str) -> Column:
+    """For each run of digit groups, itself without signs at its end, and what is ``like`` from any of its groups to any other,
+    over ``most`` groups at most: (s, e, m, before, after), the last two telling whether groups of the run are left out there (before is 2 where a country code is).
+    As a group has a digit at least, the parts of a run are at most a constant times its groups."""
+
+    def of(run: Column, groups: Column) -> Column:
+        n = F.size(groups)
+
+        def part(a: Column, b: Column, i: Column, j: Column) -> Column:
+            m = F.substring(run["m"], a["s"] + 1, b["e"] - a["s"])
+            return F.struct((run["s"] + a["s"]).alias("s"), (run["s"] + b["e"]).alias("e"), m.alias("m"), F.when(i == 0, 0).when(F.get(groups, i - 1)["m"].startswith("+"), 2).otherwise(1).alias("before"), (j < n - 1).cast("int").alias("after"))
+
+        ends = lambda a, i: F.transform(F.slice(groups, i + 1, most), lambda b, k: part(a, b, i, i + k))
+        inner = F.flatten(F.transform(groups, lambda a, i: F.filter(ends(a, i), lambda x: x["m"].rlike(like) & (x["before"] + x["after"] > 0))))
+        whole = part(F.get(groups, F.lit(0)), F.get(groups, n - 1), F.lit(0), n - 1)
+        return F.when(n > 0, F.concat(F.filter(F.array(whole), lambda x: x["m"].rlike(like.replace(",19}", ",}"))), inner)).otherwise(F.array().cast(_PART))
+
+    return F.flatten(F.transform(F.transform(runs, lambda r: F.struct(r.alias("r"), spans(r["m"], _GROUP, "[0-9]").alias("g"))), lambda x: of(x["r"], x["g"])))
+
+
 def candidates(text: Column) -> Column:
-    """Candidates of all generators with their features, as an array of structs (s, e, m, and NAMES as int); spans overlap."""
+    """Candidates of all generators with their features, as an array of structs (s, e, m, NAMES and after as int); spans overlap."""
     guards = ("@|[\\[( ]at[\\]) ]", "[0-9]", "[0-9]", "[0-9][. \\[(]")
 
     def described(generator: int) -> Column:
@@ -91,16 +118,23 @@ def candidates(text: Column) -> Column:
             check = F.when(F.length(digits).between(12, 19), luhn(digits).cast("int")).otherwise(2)
             octets = m.rlike(r"^[0-9]{1,3}([^0-9]+[0-9]{1,3}){3}$") & F.forall(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda r: F.coalesce(r.try_cast("int"), F.lit(999)) <= 255)
             spelled = F.when(m.contains("@"), 1).when(m.rlike(r"\[at\]|\(at\)"), 2).when(m.rlike(" at .*( dot |[\\[(]dot)"), 3).when(m.contains(" at "), 4).otherwise(0)
-            values = (F.lit(generator), F.least(F.length(digits), F.lit(24)), F.least(F.size(runs), F.lit(9)), F.coalesce(F.least(F.array_max(runs), F.lit(20)), F.lit(0)), signs, F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), check, octets.cast("int"), context, spelled)
-            return F.struct(x["s"].alias("s"), x["e"].alias("e"), m.alias("m"), *(v.cast("int").alias(n) for v, n in zip(values, NAMES, strict=True)))
-
-        return F.transform(spans(text, GENERATORS[generator], guards[generator]), one)
+            lengths = F.concat(F.when(m.startswith("+"), "+").otherwise(" "), F.array_join(runs.cast("array<string>"), " "))
+            shape = F.lit(0)
+            for code, like in enumerate(SHAPES, 1):
+                shape = F.when(lengths.rlike(like), code).otherwise(shape)
+            values = (F.lit(generator), F.least(F.length(digits), F.lit(24)), F.least(F.size(runs), F.lit(9)), F.coalesce(F.least(F.array_max(runs), F.lit(20)), F.lit(0)), signs, F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0), check, octets.cast("int"), context, spelled, *(F.coalesce(F.least(F.get(runs, at), F.lit(20)), F.lit(0)) for at in (F.lit(0), F.size(runs) - 1)), shape, x["before"])
+            return F.struct(x["s"].alias("s"), x["e"].alias("e"), m.alias("m"), *(v.cast("int").alias(n) for v, n in zip(values, NAMES, strict=True)), x["after"].alias("after"))
+
+        found = spans(text, GENERATORS[generator], guards[generator])
+        if generator in PARTS:
+            return F.transform(parts(found, *PARTS[generator]), one)
+        return F.transform(F.transform(found, lambda x: F.struct(x["s"], x["e"], x["m"], F.lit(0), F.lit(0)).cast(_PART[6:-1])), one)
 
     return F.concat(*(described(g) for g in range(len(GENERATORS))))
 
 
 #: Examples to learn from, as (kind or none, template). # is a digit, $ a digit that makes the span pass the
-#: Luhn check, % a number up to 255, ~ a letter.
+#: Luhn check, % a number up to 255, ~ a letter. ⟦⟧ enclose the item of the kind where others stand beside it.
 TEMPLATES = (
     ("email", "write to ~~~~.##@~~~~.~~~ please"), ("email", "~~~~~@~~~~.~~.~~"), ("email", "contact ~~~~~ [at] ~~~~~ [dot] ~~~"), ("email", "~~~~~(at)~~~~~(dot)~~~"), ("email", "e-mail ~~~~ at ~~~~~ dot ~~~"), ("email", "~~~~~ at ~~~~ dot ~~~ now"), ("email", "mail ~~~~[at]~~~~.~~~"),
     ("none", "we met at home.then left"), ("none", "look at ~~~~.~~~~ again"), ("none", "sold at ~~~~~.~~ each"), ("none", "was at ~~~.~~~~~ there"),
@@ -110,6 +144,10 @@ TEMPLATES = (
     ("none", "the ################ of"), ("none", "serial ################"), ("none", "####-####-####-####"), ("none", "####.####.####.####"), ("none", "order ##################"), ("none", "##############################"), ("none", "# # # # # # # # # # # # # # # # # # # # # # # #"), ("none", "the ##########################$ of"),
     ("ip", "at %.%.%.% then"), ("ip", "server %[.]%[.]%[.]% up"), ("ip", "host % . % . % . %"), ("ip", "ip %(.)%(.)%(.)%"), ("ip", "the %[.]%[.]%[.]% one"),
     ("none", "version #.#.#.#"), ("none", "page ###.###.###.###"), ("none", "scores # . # . # . # and"),
+    ("phone", "## ⟦###-###-####⟧ ##"), ("phone", "## ⟦###-###-####⟧"), ("phone", "⟦###-###-####⟧ ##"), ("phone", "## ⟦(###) ###-####⟧"), ("phone", "⟦(###) ###-####⟧ ##"), ("phone", "⟦+1 (###) ###-####⟧ ##"), ("phone", "⟦### ### ####⟧ ### ### ####"), ("phone", "### ### #### ⟦### ### ####⟧"), ("phone", "#### ⟦(###) ###-####⟧ ##"), ("phone", "⟦(###) ###-####⟧ (###) ###-####"), ("phone", "⟦###-###-####⟧ #### #### #### ####"), ("phone", "#### #### #### #### ⟦###-###-####⟧"), ("phone", "%.%.%.% ⟦(###) ###-####⟧ %.%.%.%"), ("phone", "⟦+1 (###) ###-####⟧ %.%.%.%"), ("phone", "⟦+1 (###) ###-####⟧ #### #### #### ####"), ("phone", "⟦+## ### ### ####⟧ ##"), ("phone", "%.%.%.% ⟦###-###-####⟧"), ("phone", "⟦###.###.####⟧ ###.###.####"), ("phone", "⟦###-###-####⟧ %.%.%.%"), ("phone", "################ ⟦###-###-####⟧"),
+    ("card", "## ⟦#### #### #### ###$⟧ ##"), ("card", "## ⟦#### #### #### ###$⟧"), ("card", "⟦#### #### #### ###$⟧ ##"), ("card", "## ⟦####-####-####-###$⟧"), ("card", "⟦####-####-####-###$⟧ ##"), ("card", "## ⟦###############$⟧"), ("card", "⟦###############$⟧ ##"), ("card", "⟦#### #### #### ###$⟧ #### #### #### ####"), ("card", "#### #### #### #### ⟦#### #### #### ###$⟧"), ("card", "### ### #### ⟦#### #### #### ###$⟧ ###-###-####"), ("card", "## ⟦####-####-####-###$⟧ ##"), ("card", "%.%.%.% ⟦####-####-####-###$⟧ %.%.%.%"), ("card", "## ⟦###############$⟧ ##"), ("card", "###-###-#### ⟦###############$⟧"), ("card", "## ⟦#### ###### ####$⟧ ##"), ("card", "## ⟦####.####.####.###$⟧ ##"),
+    ("ip", "## ⟦% . % . % . %⟧ ##"), ("ip", "⟦%[.]%[.]%[.]%⟧ ###-###-####"), ("ip", "###-###-#### ⟦%[.]%[.]%[.]%⟧"),
+    ("none", "#### #### ####"), ("none", "### ### ### ### ### ###"), ("none", "####-##-## ####-##-##"), ("none", "## ## ## ## ## ## ## ## ##"),
 )
 VARIANTS = 40
 TREES, DEPTH, RATE = 15, 2, 0.4
@@ -117,7 +155,7 @@ PRECISION = 0.98
 
 
 def examples(spark: SparkSession) -> DataFrame:
-    """VARIANTS texts of each template, drawn by hash: (kind, text, test)."""
+    """VARIANTS texts of each template, drawn by hash: (kind, text, test, s, e), the last two bounding an enclosed item."""
     table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, t in TEMPLATES))
     one = spark.range(len(TEMPLATES) * VARIANTS).select("id", F.get(table, (F.col("id") % len(TEMPLATES)).cast("int")).alias("x")).select("id", "x.*")
     drawn = lambda i, top: F.pmod(F.xxhash64(F.col("id"), i), F.lit(top)).cast("string")
@@ -127,7 +165,8 @@ def examples(spark: SparkSession) -> DataFrame:
     head = F.regexp_replace(F.regexp_extract("text", r"[0-9][0-9 .-]*(?=\$)", 0), "[^0-9]", "")
     summed = F.aggregate(F.transform(F.split(F.reverse(head), ""), lambda c, i: F.when(i % 2 == 0, (2 * c.cast("int")) - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))), F.lit(0), lambda a, b: a + b)
     last = F.when(F.col("t").rlike(r"#\$"), F.regexp_replace("text", r"(?<=[0-9])\$", ((10 - summed % 10) % 10).cast("string"))).otherwise(F.col("text"))
-    return text.select("kind", last.alias("text"), (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("test"))
+    bound = lambda mark, off: F.when(last.contains(mark), F.instr(last, mark) - off)
+    return text.select("kind", F.translate(last, "⟦⟧", "").alias("text"), (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("test"), bound("⟦", 1).alias("s"), bound("⟧", 2).alias("e"))
 
 
 class Leaf(NamedTuple):
@@ -194,8 +233,11 @@ class Model(NamedTuple):
 def fit(spark: SparkSession) -> Model:
     """Trees for each kind, learned from the examples' candidates (a bounded number of distinct feature rows on the driver),
     with thresholds calibrated on the quarter that is set aside: halfway under the least positive score from which on PRECISION
-    of the candidates are of the kind. The result is the same in every session."""
-    seen = examples(spark).select("kind", "test", F.explode(candidates(F.col("text"))).alias("c")).groupBy("kind", "test", *(F.col(f"c.{n}").alias(n) for n in NAMES)).agg(F.count("*").alias("n")).collect()
+    of the candidates are of the kind. A part of a run is of the kind only if it is the enclosed item; what stands beside that
+    teaches nothing. The result is the same in every session."""
+    drawn = examples(spark).select("kind", "test", "s", "e", F.explode(candidates(F.col("text"))).alias("c")).where("s is null or (c.s < e and s < c.e)")
+    own = F.coalesce((F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e")), (F.col("c.before") == 0) & (F.col("c.after") == 0))
+    seen = drawn.withColumn("kind", F.when(own, F.col("kind")).otherwise("none")).groupBy("kind", "test", *(F.col(f"c.{n}").alias(n) for n in NAMES)).agg(F.count("*").alias("n")).collect()
     trees, thresholds = [], []
     for kind in KINDS:
         parts: dict[bool, dict[tuple[int, ...], list[int]]] = {t: defaultdict(lambda: [0, 0]) for t in (False, True)}
@@ -222,7 +264,8 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     """docs with base (array of (s, e, kind), kind 0 to 3) and found (the same with the model's spans), row by row in the JVM.
 
     A candidate takes the kind whose score exceeds its threshold by most; one that overlaps a base span, or an accepted
-    candidate of an earlier generator, adds nothing. Null texts are empty and have no spans. Columns named base and found
+    candidate of an earlier generator, or of its own that exceeds its threshold by more (then the longer, then the earlier),
+    adds nothing. Null texts are empty and have no spans. Columns named base and found
     are replaced.
     """
     text = filled(F.col("text"))
@@ -239,10 +282,11 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
         kind = F.lit(3)
         for i in (2, 1, 0):
             kind = F.when(margins[i] == top, i).otherwise(kind)
-        return F.struct(c["s"].alias("s"), F.when(top >= 0, kind).otherwise(-1).alias("kind"), c["e"].alias("e"), c["generator"].alias("g"))
+        return F.struct(c["generator"].alias("g"), F.round(-top, 9).alias("over"), (c["s"] - c["e"]).alias("size"), c["s"].alias("s"), F.when(top >= 0, kind).otherwise(-1).alias("kind"), c["e"].alias("e"))
 
-    rows = rows.withColumn("__f", F.when(F.size("__c") == 0, F.array().cast("array<struct<s:int,kind:int,e:int,g:int>>")).otherwise(F.filter(F.transform(free, judged), lambda c: c["kind"] >= 0)))
-    first = F.filter("__f", lambda c: ~F.exists("__f", lambda o: (o["g"] < c["g"]) & overlap(o, c)))
+    judged_ = "array<struct<g:int,over:double,size:int,s:int,kind:int,e:int>>"
+    rows = rows.withColumn("__f", F.when(F.size("__c") == 0, F.array().cast(judged_)).otherwise(F.sort_array(F.filter(F.transform(free, judged), lambda c: c["kind"] >= 0).cast(judged_))))
+    first = F.aggregate("__f", F.array().cast(judged_), lambda kept, c: F.when(F.exists(kept, lambda o: overlap(o, c)), kept).otherwise(F.concat(kept, F.array(c))))
     added = F.transform(first, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e")))
     return rows.withColumn("found", F.sort_array(F.concat("base", added))).select(*kept, "base", "found")
 
