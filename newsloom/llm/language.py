@@ -16,8 +16,11 @@ from newsloom.llm.common import id_text, uniform
 #: Rows of each language that a fit samples, and characters of its automaton's text.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 30_000
-#: Runs of letters whose phrase counts a worker keeps; beyond, it forgets them all.
+#: Steps over a run of letters that a worker keeps; beyond, it forgets them all. Longer runs are not kept.
 CACHE = 400_000
+CACHE_RUN = 40
+#: Passages of a language's sampled texts have so many times the characters that would fill its automaton's text.
+PASSAGE = 4
 #: Bits by which a language must be longer for its odds to halve.
 SOFTNESS = 8.0
 UNKNOWN = "und"
@@ -74,8 +77,10 @@ def phrases(nexts: list[dict[str, int]], text: str) -> int:
 
 
 class Parser:
-    """Phrase counts of whole texts. Phrases end with a run of letters (spaces at both ends count to it), so a run's counts
-    depend on it alone and are remembered."""
+    """Phrase counts of whole texts: runs of letters with a blank before, between and after them, phrases crossing the blanks.
+
+    The cross-parsing reads forward, so what a run adds depends on it and on the automaton's state before it alone; such steps
+    are remembered."""
 
     def __init__(self, model: Model) -> None:
         self.automata = [automaton(t) for t in model.texts]
@@ -84,23 +89,42 @@ class Parser:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.automata)), np.int32)
+        self.kept = 0
+        self.steps: list[dict[tuple[int, str], tuple[int, int]]] = [{} for _ in self.automata]
+
+    @staticmethod
+    def step(nexts: list[dict[str, int]], state: int, text: str) -> tuple[int, int]:
+        """The state after text, and the phrases that begin in it; in state 0 no phrase is open."""
+        n = 0
+        for ch in text:
+            to = nexts[state].get(ch) if state else None
+            if to is None:
+                n, to = n + 1, nexts[0].get(ch, 0)
+            state = to
+        return state, n
 
     def parse(self, text: str) -> np.ndarray | None:
         """Bits of the text in each language; None without a letter."""
         runs = _RUN.findall(text.lower())
         if not any(c.isalpha() for r in runs for c in r):
             return None
-        if len(self.index) > CACHE:
+        if self.kept > CACHE:
             self.forget()
-        for run in set(runs).difference(self.index):
-            self.index[run] = n = len(self.index)
-            if n == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.counts[n] = [phrases(a, f" {run} ") for a in self.automata]
-        rows = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
-        return self.counts[rows].sum(0, dtype=np.int64) * self.bits
+        counts = []
+        for nexts, steps in zip(self.automata, self.steps, strict=True):
+            before = len(steps)
+            state, total = self.step(nexts, 0, " ")
+            for run in runs:
+                found = steps.get((state, run))
+                if found is None:
+                    found = self.step(nexts, state, f"{run} ")
+                    if len(run) <= CACHE_RUN and len(steps) < CACHE:
+                        steps[state, run] = found
+                state = found[0]
+                total += found[1]
+            self.kept += len(steps) - before
+            counts.append(total)
+        return np.array(counts) * self.bits
 
     def predict(self, text: str | None, languages: tuple[str, ...]) -> tuple[str, float]:
         cost = self.parse(text) if text and languages else None
@@ -113,9 +137,10 @@ class Parser:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of the labelled rows (text, lang) of docs; null langs and texts teach nothing.
 
-    For each language at most ``rows`` distinct texts are sampled by a hash of the text; its most frequent words, each once,
-    up to ``chars`` characters, are the text of its automaton, so all languages have texts of about one length. Ties go to
-    the lesser word.
+    For each language at most ``rows`` distinct texts are sampled by a hash of the text; a passage of each, begun where the
+    hash points, is running text, and as many as give ``chars`` characters begin the text of its automaton, so that word
+    order and frequency count. Its most frequent words, each once, up to ``chars`` characters, end it, so that short texts of
+    words that no passage holds are known too. All languages have texts of about one length; ties go to the lesser word.
     """
     known = docs.where("lang is not null and text is not null")
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count("*")).alias("share"))
@@ -126,10 +151,17 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     drawn = known.withColumn("u", uniform(F.lit(5), F.col("text"))).where(F.col("u") < wanted[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("u")
     sample = drawn.select("lang", "text", "u").dropDuplicates(["lang", "u"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    n = F.count("*").over(Window.partitionBy("lang"))
+    size = F.ceil(F.lit(float(PASSAGE * chars)) / n).cast("int")
+    begin = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - F.col("size") + 1, F.lit(1)))).cast("int") + 1
+    passages = sample.withColumn("size", size).select("lang", "u", F.substring("text", begin, F.col("size")).alias("text"))
+    drawn_: dict[str, list[str]] = {}
+    for r in passages.orderBy("lang", "u").collect():
+        drawn_.setdefault(r.lang, []).extend(_RUN.findall(r.text.lower()))
     counted = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     upto = F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     kept = counted.withColumn("upto", upto).where(F.col("upto") <= chars).groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("text"))
-    texts = {r.lang: f" {r.text} " for r in kept.collect()}
+    texts = {r.lang: f" {' '.join(drawn_.get(r.lang, ()))}"[:chars] + f" {r.text} " for r in kept.collect()}
     names = tuple(sorted(texts))
     return Model(names, tuple(texts[n] for n in names))
 
