@@ -314,7 +314,7 @@ def silhouette_cosine(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("hdbscan_labels")
 def hdbscan_labels(spark, sf_dir):  # noqa: ANN001, ANN201
-    return clustering.cluster(_read(spark, sf_dir, "embeddings"), "label")
+    return clustering.cluster(_read(spark, sf_dir, "embeddings"))
 
 
 @query("update_clusters_exact")

@@ -7,31 +7,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most vectors of one clustering group: its distances take 8 bytes a pair.
-MAX_GROUP = 20_000
+#: Distances that a clustering task holds at once, about: rows are taken in blocks of so many pairs.
+BLOCK_PAIRS = 4_000_000
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> np.ndarray:
     """Labels of the rows (-1: noise) by hierarchical density clustering: mutual reachability, minimum spanning tree,
-    condensed tree, excess of mass. A point is its own first neighbour. Clusters are numbered by their first member."""
+    condensed tree, excess of mass. A point is its own first neighbour. Clusters are numbered by their first member. Memory
+    grows with the rows, not with their pairs: distances are made in blocks, and again for each point as the tree takes it."""
     n = len(x)
     labels = np.full(n, -1)
     if n < max(2, min_cluster_size):
         return labels
     sq = (x**2).sum(1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
-    core = np.sort(d, axis=1)[:, min(min_samples, n) - 1]
-    d = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    k, core = min(min_samples, n) - 1, np.empty(n)
+    for a in range(0, n, block := max(1, BLOCK_PAIRS // n)):
+        d = np.sqrt(np.maximum(sq[a : a + block, None] + sq[None, :] - 2 * x[a : a + block] @ x.T, 0))
+        core[a : a + block] = np.partition(d, k, axis=1)[:, k]
+
+    def reach(j: int) -> np.ndarray:
+        return np.maximum(np.sqrt(np.maximum(sq[j] + sq - 2 * x @ x[j], 0)), np.maximum(core[j], core))
+
     # Prim's tree
-    best, near, todo = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
+    best, near, todo = reach(0), np.zeros(n, int), np.ones(n, bool)
     todo[0] = False
     edges = []
     for _ in range(n - 1):
         j = int(np.argmin(np.where(todo, best, np.inf)))
         edges.append((best[j], int(near[j]), j))
         todo[j] = False
-        closer = todo & (d[j] < best)
-        best[closer], near[closer] = d[j][closer], j
+        d = reach(j)
+        closer = todo & (d < best)
+        best[closer], near[closer] = d[closer], j
     edges.sort()
     # single-linkage tree: nodes n.. are merges
     top, children, size, height = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1), [0.0] * (2 * n - 1)
@@ -97,20 +104,18 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> n
     return labels
 
 
-def cluster(vectors: DataFrame, group: str, id_: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
-    """(group, id, cluster) of every vector, each group (a window, a topic) clustered apart in one task; -1 is noise. A group
-    over MAX_GROUP vectors raises: deal it to smaller windows first. A null vector raises."""
+def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
+    """(group, id, cluster) of every vector, all at once or each group (a window, a topic) clustered apart, a clustering in one
+    task of memory in proportion to its vectors and time to their pairs; -1 is noise. A null vector raises."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["x"].isna().any():
             raise ValueError("a vector is null; encode all rows first")
-        if len(rows) > MAX_GROUP:
-            raise ValueError(f"{len(rows)} vectors in one group; the most is {MAX_GROUP}")
         rows = rows.sort_values("id")
         labels = hdbscan(np.stack(rows["x"].to_numpy()).astype(float), min_cluster_size, min_samples)
         return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": labels})
 
-    rows = vectors.select(F.col(group).cast("string").alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).alias("x"))
+    rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).alias("x"))
     return rows.groupBy("group").applyInPandas(run, "group string, id long, cluster int")
 
 
