@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import id_text, uniform
 
-#: Rows of each language that a fit samples, and characters of its automaton's text.
-SAMPLE_ROWS = 400
-SAMPLE_CHARS = 30_000
-#: Steps over a run of letters that a worker keeps; beyond, it forgets them all. Longer runs are not kept.
-CACHE = 400_000
-CACHE_RUN = 40
-#: Passages of a language's sampled texts have so many times the characters that would fill its automaton's text.
-PASSAGE = 4
+#: Labelled rows of each language that a fit samples, and characters of running text that their passages fill.
+SAMPLE_ROWS = 512
+SAMPLE_CHARS = 65_536
+#: Characters of all automata together: with many languages each gets less, so that a worker's memory stays bounded.
+MODEL_CHARS = 1 << 20
+#: Bytes after which a phrase ends in any case, so that a long text is parsed in as many lanes at once.
+BLOCK = 512
+#: Bytes of text that are parsed at once.
+AT_ONCE = 4 << 20
 #: Bits by which a language must be longer for its odds to halve.
 SOFTNESS = 8.0
 UNKNOWN = "und"
@@ -29,15 +30,20 @@ _PARSERS: dict[int, Parser] = {}
 
 
 class Model(NamedTuple):
-    """Languages in code point order, and for each the text of its automaton."""
+    """Languages in code point order, and for each the running text of its automaton."""
 
     languages: tuple[str, ...]
     texts: tuple[str, ...]
 
 
-def automaton(text: str) -> list[dict[str, int]]:
+def plain(text: str) -> str:
+    """The lower-cased text with one blank for all between two runs of letters, and one at either end."""
+    return f" {' '.join(_RUN.findall(text.lower()))} "
+
+
+def automaton(text: bytes) -> list[dict[int, int]]:
     """The suffix automaton of a text, as the transitions of each state; state 0 starts."""
-    nexts: list[dict[str, int]] = [{}]
+    nexts: list[dict[int, int]] = [{}]
     link, longest, last = [-1], [0], 0
     for ch in text:
         new = len(nexts)
@@ -65,105 +71,117 @@ def automaton(text: str) -> list[dict[str, int]]:
     return nexts
 
 
-def phrases(nexts: list[dict[str, int]], text: str) -> int:
-    """Phrases of the cross-parsing of text: each the longest match that the automaton has, one character at least."""
+def phrases(nexts: list[dict[int, int]], text: bytes, block: int = BLOCK) -> int:
+    """Phrases of the cross-parsing of text, one step at a time: each the longest match that the automaton has, one byte at
+    least, ended by a multiple of ``block``. What Parser counts in lanes."""
     n, at = 0, 0
     while at < len(text):
-        state, to = 0, at
-        while to < len(text) and (step := nexts[state].get(text[to])) is not None:
+        state, to, end = 0, at, min(len(text), (at // block + 1) * block)
+        while to < end and (step := nexts[state].get(text[to])) is not None:
             state, to = step, to + 1
         at, n = max(to, at + 1), n + 1
     return n
 
 
 class Parser:
-    """Phrase counts of whole texts: runs of letters with a blank before, between and after them, phrases crossing the blanks.
-
-    The cross-parsing reads forward, so what a run adds depends on it and on the automaton's state before it alone; such steps
-    are remembered."""
-
-    def __init__(self, model: Model) -> None:
-        self.automata = [automaton(t) for t in model.texts]
+    """Phrase counts of many texts at once. A text's bytes are cut into lanes of ``block``; all lanes take a step together through
+    an automaton's dense table, in which a byte that doesn't go on from a state leads where it leads from the start, marked as
+    the first of a new phrase."""
+
+    def __init__(self, model: Model, block: int = BLOCK) -> None:
+        self.block, texts = block, [t.encode() for t in model.texts]
+        known = sorted(set(b"".join(texts)))
+        self.classes = np.zeros(256, np.uint8)
+        self.classes[known] = np.arange(1, len(known) + 1)
+        self.tables = [self.table(t, len(known) + 1) for t in texts]
         #: A phrase names a place of the automaton's text.
-        self.bits = np.array([math.log2(len(t) + 2) for t in model.texts])
-        self.forget()
-
-    def forget(self) -> None:
-        self.kept = 0
-        self.steps: list[dict[tuple[int, str], tuple[int, int]]] = [{} for _ in self.automata]
-
-    @staticmethod
-    def step(nexts: list[dict[str, int]], state: int, text: str) -> tuple[int, int]:
-        """The state after text, and the phrases that begin in it; in state 0 no phrase is open."""
-        n = 0
-        for ch in text:
-            to = nexts[state].get(ch) if state else None
-            if to is None:
-                n, to = n + 1, nexts[0].get(ch, 0)
-            state = to
-        return state, n
-
-    def parse(self, text: str) -> np.ndarray | None:
-        """Bits of the text in each language; None without a letter."""
-        runs = _RUN.findall(text.lower())
-        if not any(c.isalpha() for r in runs for c in r):
-            return None
-        if self.kept > CACHE:
-            self.forget()
-        counts = []
-        for nexts, steps in zip(self.automata, self.steps, strict=True):
-            before = len(steps)
-            state, total = self.step(nexts, 0, " ")
-            for run in runs:
-                found = steps.get((state, run))
-                if found is None:
-                    found = self.step(nexts, state, f"{run} ")
-                    if len(run) <= CACHE_RUN and len(steps) < CACHE:
-                        steps[state, run] = found
-                state = found[0]
-                total += found[1]
-            self.kept += len(steps) - before
-            counts.append(total)
-        return np.array(counts) * self.bits
-
-    def predict(self, text: str | None, languages: tuple[str, ...]) -> tuple[str, float]:
-        cost = self.parse(text) if text and languages else None
-        if cost is None:
-            return UNKNOWN, 0.0
-        best = int(np.argmin(cost))
-        return languages[best], float(1 / np.exp2((cost[best] - cost) / SOFTNESS).sum())
+        self.bits = np.array([math.log2(len(t) + 2) for t in texts])
+
+    def table(self, text: bytes, width: int) -> np.ndarray:
+        """Of each state and class: the next state's row times two, plus one where a phrase begins."""
+        nexts = automaton(text)
+        size = 2 * width * len(nexts)
+        wide = np.int32 if size < 1 << 31 else np.int64
+        rows = np.repeat(np.arange(len(nexts)), [len(n) for n in nexts])
+        chars = self.classes[np.fromiter((c for n in nexts for c in n), np.int64, len(rows))]
+        to = 2 * width * np.fromiter((s for n in nexts for s in n.values()), np.int64, len(rows))
+        start = np.ones(width, wide)
+        start[chars[rows == 0]] += to[rows == 0].astype(wide)
+        table = np.tile(start, (len(nexts), 1))
+        table[rows[rows > 0], chars[rows > 0]] = to[rows > 0]
+        return table.ravel()
+
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): phrases of each."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        lanes = -(-sizes // self.block)
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = np.repeat(np.cumsum(sizes) - sizes, lanes) + within * self.block
+        length = np.minimum(np.repeat(sizes, lanes) - within * self.block, self.block)
+        order = np.argsort(-length, kind="stable")
+        owner, begin, length = owner[order], begin[order], length[order]
+        data = self.classes[np.frombuffer(b"".join(texts), np.uint8)]
+        # lanes that are still going at each step
+        going = len(length) - np.searchsorted(length[::-1], np.arange(self.block), side="right")
+        out = np.zeros((len(texts), len(self.tables)))
+        counts = [np.zeros(len(owner), np.int32) for _ in self.tables]
+        states = [np.zeros(len(owner), t.dtype) for t in self.tables]
+        for step in range(int(length.max(initial=0))):
+            n = going[step]
+            codes = data[begin[:n] + step].astype(np.int32)
+            for table, state, count in zip(self.tables, states, counts, strict=True):
+                now = state[:n]
+                np.right_shift(now, 1, out=now)
+                np.add(now, codes, out=now)
+                np.take(table, now, out=now, mode="clip")
+                count[:n] += now & 1
+        for k, count in enumerate(counts):
+            out[:, k] = np.bincount(owner, count, minlength=len(texts))
+        return out
+
+    def predict(self, texts: list[str | None], languages: tuple[str, ...]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        out, held, size = [(UNKNOWN, 0.0)] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if languages and text and any(map(str.isalpha, text)):
+                held.append((i, plain(text).encode()))
+                size += len(held[-1][1])
+            if held and (size > AT_ONCE or i == len(texts) - 1):
+                cost = self.count([t for _, t in held]) * self.bits
+                best = cost.argmin(1)
+                scores = 1 / np.exp2((cost.min(1, keepdims=True) - cost) / SOFTNESS).sum(1)
+                for (at, _), k, score in zip(held, best.tolist(), scores.tolist(), strict=True):
+                    out[at] = languages[k], score
+                held, size = [], 0
+        return out
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of the labelled rows (text, lang) of docs; null langs and texts teach nothing.
 
-    For each language at most ``rows`` distinct texts are sampled by a hash of the text; a passage of each, begun where the
-    hash points, is running text, and as many as give ``chars`` characters begin the text of its automaton, so that word
-    order and frequency count. Its most frequent words, each once, up to ``chars`` characters, end it, so that short texts of
-    words that no passage holds are known too. All languages have texts of about one length; ties go to the lesser word.
+    For each language at most ``rows`` distinct texts are sampled by a hash of the text. Each gives a passage of running text,
+    begun where the hash points and long enough that they fill ``chars`` characters together; joined, they are the text of the
+    language's automaton, in their own order of words. All languages get texts of about one length.
     """
     known = docs.where("lang is not null and text is not null")
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count("*")).alias("share"))
     shares = {r.lang: r.share for r in share.collect()}
     if not shares:
         return Model((), ())
+    chars = min(chars, MODEL_CHARS // len(shares))
     wanted = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))
     drawn = known.withColumn("u", uniform(F.lit(5), F.col("text"))).where(F.col("u") < wanted[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("u")
     sample = drawn.select("lang", "text", "u").dropDuplicates(["lang", "u"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
-    n = F.count("*").over(Window.partitionBy("lang"))
-    size = F.ceil(F.lit(float(PASSAGE * chars)) / n).cast("int")
+    size = F.ceil(F.lit(float(chars)) / F.count("*").over(Window.partitionBy("lang"))).cast("int")
     begin = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - F.col("size") + 1, F.lit(1)))).cast("int") + 1
     passages = sample.withColumn("size", size).select("lang", "u", F.substring("text", begin, F.col("size")).alias("text"))
-    drawn_: dict[str, list[str]] = {}
+    found: dict[str, list[str]] = {}
     for r in passages.orderBy("lang", "u").collect():
-        drawn_.setdefault(r.lang, []).extend(_RUN.findall(r.text.lower()))
-    counted = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    upto = F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = counted.withColumn("upto", upto).where(F.col("upto") <= chars).groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("text"))
-    texts = {r.lang: f" {' '.join(drawn_.get(r.lang, ()))}"[:chars] + f" {r.text} " for r in kept.collect()}
-    names = tuple(sorted(texts))
-    return Model(names, tuple(texts[n] for n in names))
+        found.setdefault(r.lang, []).append(plain(r.text).strip())
+    names = tuple(sorted(n for n, texts in found.items() if any(texts)))
+    return Model(names, tuple(f" {' '.join(filter(None, found[n]))} " for n in names))
 
 
 def held_out(doc_id, of: int = 4, which: int = 2):  # noqa: ANN001, ANN201
@@ -175,9 +193,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A text is priced in each language by its phrases times the bits that name a phrase; the cheapest wins, the first by
     code point of equal ones. score is the winner's share of the languages' odds. Null texts and texts without a letter are
-    ``und`` with score 0, as is every text if no language was learned. Columns of these two names are replaced.
+    ``und`` with score 0, as is every text if no language was learned. Columns of these two names are replaced. Repeated rows
+    each come back; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # MODEL_CHARS bound it
     key = hash(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -186,7 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _PARSERS:
             _PARSERS.clear()
             _PARSERS[key] = Parser(own)
-        return pd.DataFrame([_PARSERS[key].predict(t, own.languages) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(_PARSERS[key].predict(list(texts), own.languages), columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.select(*kept, predicted("text").alias("__p")).select(*kept, "__p.lang_pred", "__p.score")

@@ -134,19 +134,6 @@ def test_language_held_out(spark, docs):
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]) > 0.95
 
 
-def test_suffix_automaton_phrases():
-    draw = random.Random(2)
-    for _ in range(100):
-        taught, text = ("".join(draw.choices("abc", k=n)) for n in (30, 20))
-        at = n = 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and text[at : end + 1] in taught:
-                end += 1
-            at, n = end, n + 1
-        assert language.phrases(language.automaton(taught), text) == n
-
-
 def brute_spans(text):
     def luhn(digits):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
