@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
+#: Bits of a window's hash that are given up besides those of its place: none; tests give up nearly all.
+SPARE_BITS = 0
 
 
 @dataclass(frozen=True)
@@ -40,18 +43,35 @@ RULES = (
 )
 
 
-def _same(keys: str, key: Column, i: Column) -> Column:
-    bits = F.col("place_bits")
-    own = F.call_function("shiftrightunsigned", key, bits)
-    other = lambda j: F.call_function("shiftrightunsigned", F.get(F.col(keys), j), bits)
-    return F.coalesce(own == other(i - 1), F.lit(False)) | F.coalesce(own == other(i + 1), F.lit(False))
+def _shift(value: Column, by: Column, left: bool = False) -> Column:
+    return F.call_function("shiftleft" if left else "shiftrightunsigned", value, by)
+
+
+def _window(i: Column) -> Column:
+    return F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW)))
+
+
+def _key(i: Column) -> Column:
+    """The upper bits of the hash of the window at i, and i below them."""
+    return _shift(_shift(_window(i), F.col("place_bits")), F.col("place_bits"), left=True).bitwiseOR(i.cast("long"))
+
+
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(_shift(F.lit(1).cast("long"), F.col("place_bits"), left=True) - 1)
+
+
+def _met(keys: str, own: Callable[[Column], Column]) -> Column:
+    """The keys of a sorted array that agree in what ``own`` gives with the key before or after."""
+    near = lambda key, other: F.coalesce(own(key) == own(other), F.lit(False))
+    return F.filter(keys, lambda k, i: near(k, F.get(F.col(keys), i - 1)) | near(k, F.get(F.col(keys), i + 1)))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> counts of each whole text, computed in the JVM row by row, without a shuffle.
 
-    A window's hash and place share 64 bits: the place takes as many as the text's number of words needs, the hash the rest
-    (49 bits at 20,000 words), so unequal windows of a text are confused with a probability under one in a million.
+    Windows are sorted by hash and place in 64 bits, of which the place takes as many as the number of words needs, so that
+    arrays of plain numbers are sorted. Windows whose shortened hashes meet are a superset of the repeated ones; they alone
+    are sorted again, by their full 64-bit hashes: the result doesn't depend on how many bits a long text leaves.
     """
     text = filled(F.col("text"))
     base = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text")))
@@ -67,14 +87,14 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.regexp_count("text", F.lit("[!?]{2,}")).cast("long").alias("n_shouts"),
-        F.ceil(F.log2(F.size("w") + F.lit(2))).cast("int").alias("place_bits"),
+        (F.ceil(F.log2(F.size("w") + F.lit(2))) + SPARE_BITS).cast("int").alias("place_bits"),
         "h",
     )
     place = F.when(F.size("h") < WINDOW, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("h") - WINDOW))
-    key = lambda i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW))), F.col("place_bits")), F.col("place_bits")).bitwiseOR(i.cast("long"))
-    keyed = counted.withColumn("keys", F.sort_array(F.transform(place, key))).drop("h")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place_bits")) - 1
-    again = keyed.withColumn("again", F.sort_array(F.transform(F.filter("keys", lambda k, i: _same("keys", k, i)), lambda k: k.bitwiseAND(low)))).drop("keys", "place_bits")
+    keyed = counted.withColumn("keys", F.sort_array(F.transform(place, _key)))
+    short = F.transform(_met("keys", lambda k: _shift(k, F.col("place_bits"))), lambda k: _place(k).cast("int"))
+    again = keyed.withColumn("keys", F.sort_array(F.transform(short, lambda i: F.struct(_window(i).alias("k"), i.cast("long").alias("p")))))
+    again = again.withColumn("again", F.sort_array(F.transform(_met("keys", lambda x: x["k"]), lambda x: x["p"]))).drop("keys", "h", "place_bits")
     gaps = F.zip_with("again", F.slice("again", 2, F.greatest(F.size("again") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW).cast("long")), F.lit(WINDOW).cast("long")))
     return again.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)).drop("again")
 
