@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,28 @@ def uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's lambdas read it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scan(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """For each place of an array the fold of all before it; op must be associative. The array is folded in chunks of the root of
+    its length, so n values take n ** 1.5 steps at most, where appending to one array would take n ** 2."""
+
+    def fold(chunk: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(chunk, state, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def whole(v: Column) -> Column:
+        k = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / k).cast("int")), lambda c: F.slice(v, c * k + 1, k))
+        starts = lambda cs: fold(F.transform(cs, lambda c: F.aggregate(c, zero, lambda a, b: op(a, b))), zero)
+        return let(chunks, lambda cs: let(starts(cs), lambda at: F.flatten(F.zip_with(cs, at, fold))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a local master has none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
