@@ -78,7 +78,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stashed_at = path
+    return read
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what stash() wrote, once nothing that is still to be computed reads it."""
+    for df in stashed:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def join_small(df: DataFrame, dim: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:

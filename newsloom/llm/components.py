@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stash
+from newsloom.llm.common import discard, stash
 
 
 def _stars(both: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) of any integers -> (node, root): the least node that each node with an edge reaches.
 
     Rows are aggregated before every shuffle and joined on keys only; a node's neighbours are never gathered. Each round
-    is written to the shared folder, so a lost executor repeats one round at most. Self-loops and repeated edges are
+    is written to the shared folder and replaces the one before, so a lost executor repeats one round at most. Self-loops and repeated edges are
     ignored; null ends are ignored; no edges give no rows. The number of rounds grows with the logarithm of the longest
     chain; the fingerprint of the edge set (count and sum of hashes) tells when nothing changes.
     """
@@ -38,4 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             # a fixed point is a forest of stars that point at their least node
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen, e = now, stash(_round(e), "edges")
+        before, e = e, stash(_round(e), "edges")
+        discard(before)
+        seen = now

@@ -57,6 +57,17 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), both / F.greatest(distinct_shingles(a, k), F.lit(1.0))))
 
 
+def merged(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
+    """(keys, sketch) -> (keys, sketch): the sketch of the union of each group's shingles, from the sketches of its parts.
+
+    Hashes are ranked one row each and cut to k before and after the shuffle, so a hot group moves k hashes from each task
+    and no group is gathered. Null keys are a group; a group of empty sketches has an empty one; an empty table gives none.
+    """
+    hashes = sketches.select(*keys, F.explode_outer("sketch").alias("__h")).distinct()
+    least = Window.partitionBy(*keys).orderBy(F.col("__h").asc_nulls_last())
+    return hashes.withColumn("__i", F.row_number().over(least)).where(F.col("__i") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list("__h")).alias("sketch"))
+
+
 def encode(a: Column) -> Column:
     """A sketch as text: 16 hexadecimal digits for each hash."""
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))

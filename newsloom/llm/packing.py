@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from newsloom.llm.common import stash
+from newsloom.llm.common import BROADCAST_ROWS, stash
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -29,6 +29,8 @@ MOST_PADDING = 64
 JOINED = 64
 #: Distinct chunks of text whose ids a worker keeps; beyond, it forgets them all.
 CACHE = 800_000
+#: Texts whose ids tell whether a tokenizer can be asked chunk by chunk: case, blanks of each kind, stops, digits, other scripts.
+PROBES = ("", " ", "a", "The Cat. Sat, ON the mat.", "two  blanks   three", " leading and trailing ", "line\nfeed\n\nfeeds\tTab", "it's 3.14, 1,000. x.y, z..", "ÉCOLE Straße ıİ ﬁ", "日本語 の テキスト。", "don't-stop (now) [ok]; \"q\"", "a.b. c.d, e", "x\u00a0y \u3000z", "\U0001f600 smile.")
 _TOKENIZERS: dict[int, tuple] = {}
 
 
@@ -150,8 +152,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, least: int = LEAST
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer folds case, drops white space and starts a token between a letter and a full stop or comma, so chunks
-    between spaces and line feeds are encoded apart, in lower case, without such an ending, and remembered.
+    A tokenizer that folds case, drops white space and starts a token between a letter and a full stop or comma gets the chunks
+    between spaces and line feeds apart, in lower case, without such an ending, and they are remembered. Whether it is of this
+    kind is asked of it with PROBES; any other gets whole texts.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -163,6 +166,10 @@ class Encoder:
         self.added = [t.content.encode().lower() for _, t in added]
         self.between = next(((n, t.content) for n, t in added if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
 
+        self.by_chunks = True
+        self.by_chunks = self.encode(list(PROBES)) == self.alone(list(PROBES))
+        self.known = {}
+
     def alone(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -191,6 +198,8 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunks:
+            return self.alone(texts)
         lowered = [t.encode().lower() for t in texts]
         # an added token counts only as it is written, so texts that have one in any case are encoded whole
         whole = [i for i, t in enumerate(lowered) if any(a in t for a in self.added)]
@@ -268,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     ``tokenizer`` is the text of a tokenizers file. Every document's ids and one ``end`` lie in exactly one piece each.
     Whole stretches of ``capacity`` ids are sequences of their own, with negative ids. Remainders are packed by their
-    histogram, at most ``capacity`` counts on the driver; the plan's slots, bounded by it, are broadcast, and a document
+    histogram, at most ``capacity`` counts on the driver; the plan's slots are broadcast up to BROADCAST_ROWS of them, and a document
     finds its slots by its rank among the remainders of its length: its rank within its part plus the counts of the parts
     before, so no task sees all documents of a length. Ids move only for documents that are cut. Padding is under one
     LEAST_PIECE a sequence. Null and empty texts are one ``end``; repeated rows are separate documents; an empty table
@@ -283,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     names = ["s_length", "s_rank", "s_count", "s_start", "s_size", "s_sequence", "s_offset"]
     laid = spark.createDataFrame(pd.DataFrame(slots, columns=names, dtype="int64"), ", ".join(f"{n} long" for n in names))
     here = (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("s_rank")) & (F.col("rank") < F.col("s_rank") + F.col("s_count"))
-    placed = ranked.join(F.broadcast(laid), here).withColumn("sequence_id", F.col("s_sequence") + F.col("rank") - F.col("s_rank"))
+    placed = ranked.join(F.broadcast(laid) if len(slots) <= BROADCAST_ROWS else laid, here).withColumn("sequence_id", F.col("s_sequence") + F.col("rank") - F.col("s_rank"))
     entire = placed.where("s_size = length").withColumn("ids_crc32", F.col("crc"))
     lengths = sorted({s[0] for s in slots if s[4] < s[0]})
     cut = placed.where("s_size < length").join(whole.where(F.col("length").isin(lengths)).select("part", "row", "rest"), ["part", "row"]).withColumn("ids_crc32", _cut_crc("rest", "length", "s_start", "s_size"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stash
+from newsloom.llm.common import discard, stash
 from newsloom.llm.components import components
 
 SHINGLE = 4
@@ -152,7 +152,21 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
             if len(a):
                 yield pd.DataFrame({"a": a, "b": b})
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long")
+    # an explicit number: units are few bytes and many pairs, so their tasks must not be merged by bytes
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, root, component_id), a row for each row of docs; root names the component, whatever ids
+    its documents have. See near_duplicates()."""
+    prints = stash(fingerprints(docs.select("doc_id", "text"), "text", width).select("doc_id", "fp"), "simhash")
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius))
+    rooted = stash(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
+    discard(nodes)
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
@@ -164,10 +178,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
     component of its fingerprint, null if no id is in it. Other columns are ignored; an empty table gives no rows.
     Equal fingerprints are one node, so copies never make pairs.
     """
-    prints = stash(fingerprints(docs.select("doc_id", "text"), "text", width).select("doc_id", "fp"), "simhash")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = stash(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, radius, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

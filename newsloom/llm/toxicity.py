@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -14,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import id_text, uniform
+from newsloom.llm.common import id_text, stash, uniform
 
 #: Rows of each class that a fit samples.
 SAMPLE_ROWS = 10_000
-#: Most terms of the lexicon, least toxic texts with a term, least log odds and least likelihood ratio of a learned one.
-TERMS, LEAST_TEXTS, LEAST_WEIGHT, LEAST_RATIO = 500, 3, 2.0, 15.0
+#: Least toxic texts with a learned term, least log odds and least likelihood ratio of one.
+LEAST_TEXTS, LEAST_WEIGHT, LEAST_RATIO = 3, 2.0, 15.0
 #: Lengths of word beginnings that are learned as well as words, written with a star; inflected words share them.
 STEMS = (4, 5, 6, 7)
 MOST_WEIGHT = 6.0
@@ -40,8 +42,8 @@ _MATCHERS: dict[int, Matcher] = {}
 
 def _table() -> dict[int, str | None]:
     """Folding of single characters: Latin letters to their base letter, full-width forms to ASCII, look-alikes to Latin,
-    digits to letters, l to i (both are written 1), and invisible characters to nothing."""
-    table: dict[int, str | None] = {}
+    digits to letters, l to i (both are written 1), invisible characters to nothing, and all that parts words to a blank."""
+    table: dict[int, str | None] = {c: " " for c in (*range(0x250), *range(0x2000, 0x2070), *range(0x3000, 0x3004)) if not chr(c).isalnum()}
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
         base = unicodedata.normalize("NFKD", chr(code)).lower()
         if base[:1].isascii():
@@ -55,10 +57,11 @@ _FOLD = _table()
 
 
 def fold(text: str) -> str:
+    """The folded text, its words parted by single blanks whatever stood between them."""
     text = text.lower()
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return text.translate(_FOLD)
+    return " ".join(text.translate(_FOLD).split())
 
 
 class Model(NamedTuple):
@@ -102,11 +105,14 @@ class Matcher:
             else:
                 found.append((start, end, weight))
         if spared:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in spared)]
+            spared.sort()
+            starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            # the exceptions that start no later than a match cover it if the one that ends last does
+            found = [f for f in found if not ((k := bisect_right(starts, f[0])) and ends[k - 1] >= f[1])]
         best: dict[int, float] = {}
         for start, _, weight in found:
             best[start] = max(weight, best.get(start, 0.0))
-        return sum(best.values()), len(best), len(folded.split())
+        return sum(best.values()), len(best), folded.count(" ") + bool(folded)
 
     def score(self, text: str | None) -> float:
         c0, c1, c2 = self.model.coefficients
@@ -143,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model of docs (doc_id, text) that labels (doc_id, toxic 0/1) mark.
 
     At most about ``rows`` texts of each class are sampled by a hash of the id; equal texts count once. The weight of a
-    word or stem is the log ratio of its smoothed shares of toxic and clean texts; they need LEAST_TEXTS, LEAST_WEIGHT and LEAST_RATIO, and
-    the TERMS of the greatest likelihood ratio join the seeds. The score is a logistic regression on the sample, reweighted
+    word or stem is the log ratio of its smoothed shares of toxic and clean texts; all that have LEAST_TEXTS, LEAST_WEIGHT and
+    LEAST_RATIO join the seeds, so the sample bounds the lexicon. The sample is written once and read again. The score is a logistic regression on the sample, reweighted
     to the classes' true shares. Without labels of both classes, the seeds decide: any match scores over one half.
     """
     seeds = {fold(s): SEED_WEIGHT for s in SEEDS}
@@ -157,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     shares = {c: min(1.0, rows / n) for c, n in sizes.items()}
     drawn = marked.where(uniform(F.lit(3), F.col("doc_id")) < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
     sample = docs.select("doc_id", F.col("text").alias("text")).where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"))
+    sample = stash(sample, "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = {0: Counter(), 1: Counter()}
@@ -169,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         yield pd.DataFrame([("", texts[1], texts[0]), *((t, seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys())], columns=["term", "bad", "good"])
 
     counted = sample.select("text", "toxic").mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = stash(counted, "toxicity-terms")
     total = counted.where("term = ''").first()
     if not total or not total.bad or not total.good:
         return plain
@@ -177,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     both = F.col("bad") + F.col("good")
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     ratio = 2 * (part(F.col("bad"), both * n1 / (n1 + n0)) + part(F.col("good"), both * n0 / (n1 + n0)))
-    learned = counted.where(F.length("term") > 1).withColumns({"weight": weight, "ratio": ratio}).where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    learned = counted.where(F.length("term") > 1).withColumns({"weight": weight, "ratio": ratio}).where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO))
     terms = seeds | {r.term: min(MOST_WEIGHT, r.weight) for r in learned.collect()}
     model = Model(tuple(sorted(terms.items())), spared, (0.0, 0.0, 0.0))
 
