@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import mixing, packing, pii, queries, simhash, toxicity
-from newsloom.llm.common import stash, table
+from newsloom.llm.common import discard, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents that score so high or higher are rejected.
@@ -26,17 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least doc_id. Repeated rows of it are one document.
+    """One document of each near-duplicate group: the one with the least doc_id. Rows that repeat an id are one document if
+    their texts are of one group, else one of each group stays.
 
-    The ids to keep are joined on doc_id, a row each; documents without an id all stay.
+    The ids to keep are joined on doc_id, a row each; only texts of repeated ids are fingerprinted again. Documents without an
+    id all stay.
     """
-    groups = stash(simhash.near_duplicates(docs), "pipeline-groups")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id")
+    docs = docs.select(*COLUMNS)
+    groups = stash(simhash.grouped(docs).where("doc_id is not null"), "pipeline-groups")
+    mine = groups.where(F.col("doc_id") == F.col("component_id"))
+    kept = docs.join(mine.select("doc_id").distinct(), "doc_id", "left_semi")
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     single = kept.join(repeated, "doc_id", "left_anti")
-    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(F.col(c) for c in COLUMNS[1:]))).alias("x")).select("doc_id", "x.*")
-    return single.unionByName(least).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    again = simhash.fingerprints(kept.join(repeated, "doc_id", "left_semi")).join(mine.select("doc_id", "fp", "root").distinct(), ["doc_id", "fp"])
+    least = again.groupBy("doc_id", "root").agg(F.min(F.struct(*(F.col(c) for c in COLUMNS[1:]))).alias("x")).select("doc_id", "x.*")
+    return single.unionByName(least).unionByName(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,13 +73,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stash(docs, f"pipeline-{name}")
+            if i:
+                discard(before)
     return docs
 
 
-#: SQL can express neither the fingerprints nor the learned models; tests hold each stage against brute force.
+#: SQL can express neither the fingerprints nor the learned models; tests hold each stage against a plain version in Python.
 ORACLE_SQL: str | None = None
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}
 ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
