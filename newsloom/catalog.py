@@ -1,4 +1,8 @@
-"""The registered queries over the reference's operators, each with its DuckDB counterpart where SQL can express it."""
+"""The registered queries over the engine's operators, each with its DuckDB counterpart where SQL can express it.
+
+Every query reads its whole tables. Articles are the rows that embeddings, events and documents share by number, since no table
+holds all their columns. The SQL is written by hand: it reads no rule or threshold from the operators it is to check.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.articles import bias_numeric, combined_text, has_frame, hours, is_pr_origin, is_wire_origin, iso, signal_strength, stage_order
+from newsloom.functions.articles import bias_numeric, combined_text, has_frame, hours, is_pr_origin, is_wire_origin, iso, keyword_label, signal_strength
 from newsloom.operators import clustering, drift, evaluation, feedback, labeling, metrics, signals, splits, vectors, windows
 from newsloom.sources.articles import ARTICLES_SQL, from_tables, pick
 
@@ -54,13 +58,12 @@ def cluster_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERDICTS = ("confirmed", "false_positive", "needs_review", "unsure")
 FEEDBACK_CTE = """feedback AS (SELECT CAST(user_id % 400 AS VARCHAR) AS alert_id, event_type AS analyst_id, ts AS timestamp,
   (['confirmed','false_positive','needs_review','unsure'])[(event_id * 7 + user_id) % 4 + 1] AS verdict, (event_id % 101) / 100e0 AS confidence,
-  event_id % 60 AS time_spent_seconds, event_id AS ord FROM events WHERE event_id % 3 = 0)"""
+  event_id % 60 AS time_spent_seconds, event_id AS ord FROM events)"""
 
 
 def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
-    rows = _read(spark, sf_dir, "events").where(e % 3 == 0)
-    return rows.select((u % 400).cast("string").alias("alert_id"), F.col("event_type").alias("analyst_id"), F.col("ts").alias("timestamp"), pick(VERDICTS, (e * 7 + u) % 4).alias("verdict"), ((e % 101) / F.lit(100.0)).alias("confidence"), (e % 60).alias("time_spent_seconds"), e.alias("ord"))
+    return _read(spark, sf_dir, "events").select((u % 400).cast("string").alias("alert_id"), F.col("event_type").alias("analyst_id"), F.col("ts").alias("timestamp"), pick(VERDICTS, (e * 7 + u) % 4).alias("verdict"), ((e % 101) / F.lit(100.0)).alias("confidence"), (e % 60).alias("time_spent_seconds"), e.alias("ord"))
 
 
 ALERTS_CTE = """alerts AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, user_id % 97 AS cluster_id, (['critical','high','medium','low','info'])[user_id % 5 + 1] AS severity,
@@ -166,9 +169,10 @@ def cluster_timeline(spark, sf_dir):  # noqa: ANN001, ANN201
 _BIASES = ("left", "center-left", "center", "center-right", "right")
 
 
-@query("bias_histogram_zero_filled", f"""WITH {ARTICLES_SQL} SELECT d.value, count(a.id) AS n FROM (SELECT unnest({list(_BIASES)}) AS value) d LEFT JOIN (SELECT * FROM articles WHERE cluster_id = 3 AND id % 2 = 0) a ON a.outlet_bias = d.value GROUP BY d.value""")
+@query("bias_histogram_zero_filled", f"""WITH {ARTICLES_SQL} SELECT c.cluster_id, d.value, count(a.id) AS n FROM (SELECT DISTINCT cluster_id FROM articles) c CROSS JOIN (SELECT unnest({list(_BIASES)}) AS value) d
+  LEFT JOIN articles a ON a.cluster_id = c.cluster_id AND a.outlet_bias = d.value GROUP BY ALL""")
 def bias_histogram(spark, sf_dir):  # noqa: ANN001, ANN201
-    return metrics.distribution(from_tables(spark, sf_dir).where("cluster_id = 3 and id % 2 = 0"), "outlet_bias", _BIASES)
+    return metrics.distribution_by(from_tables(spark, sf_dir), "cluster_id", "outlet_bias", _BIASES)
 
 
 @query("pattern_distribution", f"WITH {ARTICLES_SQL} SELECT coalesce(pattern_type, 'unknown') AS value, count(*) AS n FROM articles GROUP BY 1")
@@ -289,7 +293,8 @@ def coherence(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("cosine_topk", "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, id LIMIT 20")
 def cosine_topk(spark, sf_dir):  # noqa: ANN001, ANN201
     v = _read(spark, sf_dir, "embeddings")
-    return _rounded(vectors.top_k(v, v.where("vec_id = 7").first().embedding, 20))
+    query = v.where("vec_id = 7").first()
+    return _rounded(vectors.top_k(v, query.embedding if query else [], 20))
 
 
 @query("similar_clusters", f"WITH {CENTERS_CTE} SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.c, b.c), 6) AS similarity FROM centers a JOIN centers b ON a.label < b.label WHERE list_cosine_similarity(a.c, b.c) >= 0.05")
@@ -320,15 +325,23 @@ def hdbscan_labels(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("update_clusters_exact")
 def update_clusters_exact(spark, sf_dir):  # noqa: ANN001, ANN201
     a = from_tables(spark, sf_dir)
-    old, new = a.where("id % 4 = 0"), a.where("id % 4 <> 0")
-    centers = vectors.as_arrays(vectors.centroids(old, "cluster_id"), "cluster_id").join(old.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
-    return _rounded(clustering.update_clusters(new.select("id", F.col("published_at").alias("ts"), "embedding"), centers.select(F.col("cluster_id").alias("cluster"), "centroid", "size"), 0.3))
+    old, new = a.where("id % 4 = 0"), a.where("id % 4 <> 0")  # clusters as they were, and what arrives
+    key = F.col("cluster_id") * 8 + F.coalesce(F.ascii("section"), F.lit(0)) % 8  # each section has clusters of its own
+    old = old.withColumn("cluster", key)
+    centers = vectors.as_arrays(vectors.centroids(old, "cluster"), "cluster").join(old.groupBy("cluster").agg(F.count("*").alias("size"), F.min("section").alias("section")), "cluster")
+    return _rounded(clustering.update_clusters(new.select("id", F.col("published_at").alias("ts"), "embedding", "section"), centers.select("cluster", "centroid", "size", "section"), "section", 0.3))
 
 
 # --- signals ---------------------------------------------------------------------------------------------------------
 
 _COHERENCE_CTE = "coh AS (SELECT a.cluster_id, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS coherence FROM articles a JOIN articles b ON a.cluster_id = b.cluster_id AND a.id < b.id GROUP BY 1)"
-_FIRED_CTE = "fired AS (" + " UNION ALL ".join(f"SELECT cluster_id, '{t}' AS signal_type, {s} AS severity FROM metrics LEFT JOIN coh USING (cluster_id) WHERE {c}" for t, c, s in signals.RULES) + ")"
+_FIRED_CTE = """fired AS (
+  SELECT cluster_id, 'rapid_emergence' AS signal_type, CASE WHEN velocity >= 5 THEN 'high' ELSE 'medium' END AS severity FROM metrics WHERE stage IN ('nascent', 'emerging') AND velocity >= 2
+  UNION ALL SELECT cluster_id, 'cross_spectrum', CASE WHEN unique_outlets >= 10 THEN 'high' ELSE 'medium' END FROM metrics WHERE bias_spread >= 0.7e0 AND size >= 2
+  UNION ALL SELECT cluster_id, 'wire_cascade', 'low' FROM metrics WHERE first_is_wire AND unique_outlets >= 3
+  UNION ALL SELECT cluster_id, 'pr_amplification', CASE WHEN source_diversity >= 3 THEN 'high' ELSE 'medium' END FROM metrics WHERE pr_origin_ratio > 0 AND unique_outlets >= 3
+  UNION ALL SELECT cluster_id, 'frame_convergence', 'low' FROM metrics LEFT JOIN coh USING (cluster_id) WHERE has_convergent AND NOT has_coordinated AND coherence >= 0.7e0
+  UNION ALL SELECT cluster_id, 'synchronized', CASE WHEN unique_outlets >= 10 OR source_diversity >= 4 THEN 'critical' ELSE 'high' END FROM metrics LEFT JOIN coh USING (cluster_id) WHERE has_coordinated AND coherence >= 0.85e0)"""
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,15 +359,16 @@ def signals_by_severity_type(spark, sf_dir):  # noqa: ANN001, ANN201
     return signals.counts(_signals(spark, sf_dir))
 
 
-_REVIEWS_CTE = "reviews AS (SELECT 's' || (event_id % 50) AS signal_id, ts AS moment, event_id AS ord, event_id % 3 <> 0 AS reviewed, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS false_positive, CASE WHEN event_id % 5 = 0 THEN 'note ' || event_id ELSE '' END AS notes FROM events WHERE event_id < 400)"
+_REVIEWS_CTE = "reviews AS (SELECT 's' || (event_id % 50) AS signal_id, ts AS moment, event_id AS ord, event_id % 3 <> 0 AS reviewed, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS false_positive, CASE WHEN event_id % 5 = 0 THEN 'note ' || event_id ELSE '' END AS notes FROM events)"
 
 
-@query("signal_review_merge", f"""WITH {_REVIEWS_CTE}, s AS (SELECT 's' || i AS signal_id FROM range(60) t(i)) SELECT s.signal_id, coalesce(arg_max(reviewed, row(moment, ord)), false) AS reviewed,
+@query("signal_review_merge", f"""WITH {_REVIEWS_CTE}, s AS (SELECT DISTINCT 's' || (event_id % 60) AS signal_id FROM events) SELECT s.signal_id, coalesce(arg_max(reviewed, row(moment, ord)), false) AS reviewed,
   arg_max(false_positive, row(moment, ord)) FILTER (false_positive IS NOT NULL) AS false_positive, arg_max(notes, row(moment, ord)) FILTER (notes <> '') AS analyst_notes FROM s LEFT JOIN reviews USING (signal_id) GROUP BY s.signal_id""")
 def signal_review_merge(spark, sf_dir):  # noqa: ANN001, ANN201
     e = F.col("event_id")
-    reviews = _read(spark, sf_dir, "events").where(e < 400).select(F.concat(F.lit("s"), (e % 50).cast("string")).alias("signal_id"), F.col("ts").alias("at"), e.alias("ord"), (e % 3 != 0).alias("reviewed"), F.when(e % 4 == 0, e % 8 == 0).alias("false_positive"), F.when(e % 5 == 0, F.concat(F.lit("note "), e.cast("string"))).otherwise("").alias("notes"))
-    return signals.review(spark.range(60).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("signal_id")), reviews)
+    events = _read(spark, sf_dir, "events")
+    reviews = events.select(F.concat(F.lit("s"), (e % 50).cast("string")).alias("signal_id"), F.col("ts").alias("at"), e.alias("ord"), (e % 3 != 0).alias("reviewed"), F.when(e % 4 == 0, e % 8 == 0).alias("false_positive"), F.when(e % 5 == 0, F.concat(F.lit("note "), e.cast("string"))).otherwise("").alias("notes"))
+    return signals.review(events.select(F.concat(F.lit("s"), (e % 60).cast("string")).alias("signal_id")).distinct(), reviews)
 
 
 def _transition_sql() -> str:
@@ -364,7 +378,10 @@ def _transition_sql() -> str:
       x AS (SELECT *, CASE WHEN dur = 0 THEN size ELSE size / dur END AS velocity, CASE WHEN o <= 2 AND dur < 6 THEN 0 WHEN o <= 5 THEN 1 ELSE 2 END AS stage_order FROM m),
       p AS (SELECT w, row_number() OVER (ORDER BY w) AS n FROM (SELECT DISTINCT w FROM x)), y AS (SELECT x.*, n FROM x JOIN p USING (w)),
       z AS (SELECT c.*, q.velocity AS p_velocity, q.stage_order AS p_order, EXISTS (SELECT 1 FROM y o WHERE o.topic = c.topic AND o.n < c.n) AS seen_before FROM y c LEFT JOIN y q ON q.topic = c.topic AND q.n = c.n - 1)
-      """ + " UNION ALL ".join(f"SELECT w, topic, '{t}' AS signal_type, {s} AS severity FROM z WHERE {c}" for t, c, s in signals.TRANSITIONS)
+      SELECT w, topic, 'velocity_spike' AS signal_type, 'medium' AS severity FROM z WHERE velocity >= 3 * p_velocity
+      UNION ALL SELECT w, topic, 'sustained_momentum', 'medium' FROM z WHERE velocity >= 2 AND p_velocity >= 2
+      UNION ALL SELECT w, topic, 'stage_transition', CASE WHEN stage_order < p_order THEN 'info' ELSE 'low' END FROM z WHERE p_order <> stage_order
+      UNION ALL SELECT w, topic, 'narrative_revival', 'medium' FROM z WHERE p_velocity IS NULL AND seen_before"""
 
 
 @query("stage_transitions", _transition_sql())
@@ -379,13 +396,20 @@ def stage_transitions(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def _votes_sql() -> str:
-    def case(cases: list, part: str) -> str:
-        return "CASE " + " ".join(f"WHEN {c} THEN {w if part == 'w' else repr(label)}" for c, label, w in cases) + " END"
-
-    votes = " UNION ALL ".join(f"SELECT cluster_id, {i} AS i, '{n}' AS name, {case(c, 'l')} AS label, {case(c, 'w')} AS weight FROM signals" for i, (n, c) in enumerate(labeling.rules().items()))
+    likely, suspicious, organic = "'likely_coordinated'", "'suspicious'", "'organic'"
+    votes = f"""
+      SELECT cluster_id, 0 AS i, 'lf_coordination_ratio' AS name, CASE WHEN coordination_ratio > 5 THEN {likely} WHEN coordination_ratio > 2 THEN {suspicious} WHEN coordination_ratio < 1.2e0 THEN {organic} END AS label,
+        CASE WHEN coordination_ratio > 5 THEN 1.5 WHEN coordination_ratio > 2 THEN 1.0 WHEN coordination_ratio < 1.2e0 THEN 0.8 END AS weight FROM signals
+      UNION ALL SELECT cluster_id, 1, 'lf_duplicate_burst', CASE WHEN duplicate_burst_score > 0.7e0 THEN {likely} WHEN duplicate_burst_score > 0.5e0 THEN {suspicious} WHEN duplicate_burst_score < 0.1e0 THEN {organic} END,
+        CASE WHEN duplicate_burst_score > 0.7e0 THEN 1.3 WHEN duplicate_burst_score > 0.5e0 THEN 1.0 WHEN duplicate_burst_score < 0.1e0 THEN 0.7 END FROM signals
+      UNION ALL SELECT cluster_id, 2, 'lf_temporal_burst', CASE WHEN velocity_zscore > 4 AND semantic_coherence > 0.8e0 THEN {likely} WHEN burst_detected AND semantic_coherence > 0.7e0 THEN {suspicious} END,
+        CASE WHEN velocity_zscore > 4 AND semantic_coherence > 0.8e0 THEN 1.2 WHEN burst_detected AND semantic_coherence > 0.7e0 THEN 0.9 END FROM signals
+      UNION ALL SELECT cluster_id, 3, 'lf_coherence_diversity', CASE WHEN semantic_coherence > 0.85e0 AND coordination_ratio > 1.5e0 THEN {suspicious} END, 0.8 FROM signals
+      UNION ALL SELECT cluster_id, 4, 'lf_small_cluster', CASE WHEN size < 10 AND coordination_ratio < 1.5e0 THEN {organic} END, 0.6 FROM signals
+      UNION ALL SELECT cluster_id, 5, 'lf_large_diverse', CASE WHEN size > 50 AND coordination_ratio < 1.3e0 AND unique_authors > 40 THEN {organic} END, 1.0 FROM signals"""
     return f"""votes AS (SELECT * FROM ({votes}) WHERE label IS NOT NULL), t AS (SELECT cluster_id, sum(CAST(weight AS DOUBLE)) AS total, count(*) AS n, string_agg(name, ',' ORDER BY i) AS fired FROM votes GROUP BY 1),
-      l AS (SELECT cluster_id, label, sum(CAST(weight AS DOUBLE)) AS w FROM votes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(w, 9) DESC, array_position(['ORGANIC','SUSPICIOUS','LIKELY_COORDINATED'], label)) AS rn FROM l),
-      weak AS (SELECT s.cluster_id, CASE WHEN t.n IS NULL OR w / total < 0.4 THEN 'UNKNOWN' ELSE label END AS label, coalesce(w / total, 0e0) AS confidence, coalesce(fired, '') AS fired, CAST(coalesce(n, 0) AS INTEGER) AS n_fired
+      l AS (SELECT cluster_id, label, sum(CAST(weight AS DOUBLE)) AS w FROM votes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(w, 9) DESC, array_position(['organic','suspicious','likely_coordinated'], label)) AS rn FROM l),
+      weak AS (SELECT s.cluster_id, CASE WHEN t.n IS NULL OR w / total < 0.4 THEN 'unknown' ELSE label END AS label, coalesce(w / total, 0e0) AS confidence, coalesce(fired, '') AS fired, CAST(coalesce(n, 0) AS INTEGER) AS n_fired
         FROM signals s LEFT JOIN t ON t.cluster_id = s.cluster_id LEFT JOIN r ON r.cluster_id = s.cluster_id AND rn = 1)"""
 
 
@@ -394,7 +418,21 @@ def weak_labels(spark, sf_dir):  # noqa: ANN001, ANN201
     return _rounded(labeling.weak_labels(cluster_signals(spark, sf_dir)).select("cluster_id", "label", "confidence", "fired", "n_fired"))
 
 
-@query("high_confidence_labels", f"WITH {SIGNALS_CTE}, {_votes_sql()} SELECT cluster_id, label FROM weak WHERE label <> 'UNKNOWN' AND confidence >= 0.7")
+_KEYWORDS_CTE = """named AS (SELECT doc_id, [x for x in [CASE doc_id % 4 WHEN 0 THEN '$tk' || (doc_id % 7) WHEN 1 THEN source ELSE lang END, CASE WHEN doc_id % 5 <> 0 THEN (['buy','sell','hold','moon','squeeze','target','other'])[doc_id % 7 + 1] END, CASE WHEN doc_id % 3 = 0 THEN '$zz' END] if x IS NOT NULL] AS k FROM documents)"""
+
+
+@query("narrative_labels", f"""WITH {_KEYWORDS_CTE}, t AS (SELECT doc_id, k, ([x for x in k if x[1] = '$'])[1] AS ticker, ([x for x in [CASE x WHEN 'buy' THEN 'Buy' WHEN 'sell' THEN 'Sell' WHEN 'hold' THEN 'Hold' WHEN 'moon' THEN 'Pump' WHEN 'squeeze' THEN 'Squeeze' WHEN 'target' THEN 'Target' END for x in k] if x IS NOT NULL])[1] AS action FROM named)
+  SELECT doc_id, CASE WHEN len(k) < 2 THEN 'Unclassified Coordination Pattern' WHEN ticker IS NOT NULL THEN coalesce(action, 'Campaign') || ' Campaign for ' || upper(ticker)
+    ELSE 'Coordinated ' || list_aggregate([upper(x[1]) || lower(x[2:]) for x in k[1:2]], 'string_agg', ' ') || ' Campaign' END AS label FROM t""")
+def narrative_labels(spark, sf_dir):  # noqa: ANN001, ANN201
+    i = F.col("doc_id")
+    first = F.when(i % 4 == 0, F.concat(F.lit("$tk"), (i % 7).cast("string"))).when(i % 4 == 1, F.col("source")).otherwise(F.col("lang"))
+    second = F.when(i % 5 != 0, pick(("buy", "sell", "hold", "moon", "squeeze", "target", "other"), i % 7))
+    keywords = F.filter(F.array(first, second, F.when(i % 3 == 0, "$zz")), lambda k: k.isNotNull())
+    return _read(spark, sf_dir, "documents").select("doc_id", keyword_label(keywords).alias("label"))
+
+
+@query("high_confidence_labels", f"WITH {SIGNALS_CTE}, {_votes_sql()} SELECT cluster_id, label FROM weak WHERE label <> 'unknown' AND confidence >= 0.7")
 def high_confidence_labels(spark, sf_dir):  # noqa: ANN001, ANN201
     return labeling.high_confidence(labeling.weak_labels(cluster_signals(spark, sf_dir))).select("cluster_id", "label")
 
@@ -605,13 +643,10 @@ def baseline_smoothing(spark, sf_dir):  # noqa: ANN001, ANN201
     return _rounded(drift.smooth(*_halves(spark, sf_dir)))
 
 
-@query("first_cluster_membership", """WITH c AS (SELECT doc_id % 50 AS cluster_id, doc_id % 50 AS ord, list(doc_id) || list(doc_id + 1) AS ids FROM documents WHERE doc_id % 3 <> 0 GROUP BY doc_id % 50), m AS (SELECT cluster_id, ord, unnest(ids) AS id FROM c)
-  SELECT d.doc_id AS id, coalesce((SELECT arg_min(cluster_id, ord) FROM m WHERE m.id = d.doc_id), -1) AS cluster_id FROM documents d""")
+@query("first_cluster_membership", """WITH m AS (SELECT doc_id % 50 AS cluster_id, doc_id + 1 AS id FROM documents UNION ALL SELECT doc_id % 50, doc_id + 7 FROM documents)
+  SELECT d.doc_id AS id, coalesce((SELECT arg_min(cluster_id, cluster_id) FROM m WHERE m.id = d.doc_id), -1) AS cluster_id FROM documents d""")
 def first_cluster_membership(spark, sf_dir):  # noqa: ANN001, ANN201
     d = _read(spark, sf_dir, "documents").select("doc_id")
-    own = d.where("doc_id % 3 <> 0").withColumn("cluster_id", F.col("doc_id") % 50)
-    clusters = own.groupBy("cluster_id").agg(F.concat(F.collect_list("doc_id"), F.collect_list(F.col("doc_id") + 1)).alias("document_ids")).withColumn("ord", F.col("cluster_id"))
-    return drift.first_cluster(d.withColumnRenamed("doc_id", "id"), clusters)
-
-
-_ = stage_order
+    number = F.col("doc_id") % 50
+    members = d.select(number.alias("cluster_id"), number.alias("ord"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 7)).alias("id"))
+    return drift.first_cluster(d.withColumnRenamed("doc_id", "id"), members)

@@ -60,9 +60,16 @@ def iso(ts: Column) -> Column:
     return F.when(micros(ts) % 1_000_000 == 0, whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def keyword_label(keywords: Column, text: Column) -> Column:
-    """A fallback name for a story: a campaign for the first ticker among three keywords, else the first two in title case."""
-    ticker = F.get(F.filter(F.slice(keywords, 1, 3), lambda k: k.startswith("$")), 0)
-    action = F.when(F.lower(text).contains("sell"), "Sell").when(F.lower(text).contains("buy"), "Buy").otherwise("Coordinated")
-    two = F.initcap(F.array_join(F.slice(keywords, 1, 2), " "))
-    return F.when(ticker.isNotNull(), F.concat(action, F.lit(" Campaign for "), F.upper(ticker))).when(F.size(keywords) > 0, two).otherwise("Unlabeled Narrative")
+# Keywords that name what a campaign wants.
+ACTIONS = {"buy": "Buy", "sell": "Sell", "hold": "Hold", "moon": "Pump", "squeeze": "Squeeze", "target": "Target"}
+
+
+def keyword_label(keywords: Column) -> Column:
+    """A name for a story that no generator named, from its first three keywords: a campaign for the first ticker, wanting what
+    the first keyword of ACTIONS says; else a campaign named by the first two; with fewer than two, unclassified."""
+    three = F.slice(keywords, 1, 3)
+    ticker = F.get(F.filter(three, lambda k: k.startswith("$")), F.lit(0))
+    action = F.get(F.filter(F.transform(three, lambda k: lookup(ACTIONS, k)), lambda a: a.isNotNull()), F.lit(0))
+    named = F.concat(F.coalesce(action, F.lit("Campaign")), F.lit(" Campaign for "), F.upper(ticker))
+    two = F.concat(F.lit("Coordinated "), F.initcap(F.array_join(F.slice(keywords, 1, 2), " ")), F.lit(" Campaign"))
+    return F.when(F.coalesce(F.size(keywords), F.lit(0)) < 2, "Unclassified Coordination Pattern").when(ticker.isNotNull(), named).otherwise(two)

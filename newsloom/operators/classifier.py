@@ -80,12 +80,12 @@ def holdout(rows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
 
 
 def from_weak_labels(labelled: DataFrame, least: float = 0.5) -> DataFrame:
-    """Training rows of weak labels: UNKNOWN and unsure ones go, ORGANIC is 0, others 1, weighted by confidence; fewer than
+    """Training rows of weak labels: unknown and unsure ones go, organic is 0, others 1, weighted by confidence; fewer than
     ten rows raise."""
-    kept = labelled.where((F.col("label") != "UNKNOWN") & (F.col("confidence") >= least))
+    kept = labelled.where((F.col("label") != "unknown") & (F.col("confidence") >= least))
     if len(kept.limit(10).collect()) < 10:
         raise ValueError("fewer than ten labelled clusters")
-    return kept.withColumn("weight", F.col("confidence")).withColumn("label", (F.col("label") != "ORGANIC").cast("int"))
+    return kept.withColumn("weight", F.col("confidence")).withColumn("label", (F.col("label") != "organic").cast("int"))
 
 
 def save(model: tuple[PipelineModel, dict[str, tuple[float, float]]], path: str, spark=None) -> None:  # noqa: ANN001

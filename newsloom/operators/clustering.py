@@ -119,22 +119,23 @@ def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", v
     return rows.groupBy("group").applyInPandas(run, "group string, id long, cluster int")
 
 
-def update_clusters(new: DataFrame, existing: DataFrame, threshold: float = 0.85, partition: str | None = None) -> DataFrame:
+def update_clusters(new: DataFrame, existing: DataFrame, partition: str, threshold: float = 0.85, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
     """Sequential assignment: (part, id, cluster, similarity) of each new vector (id, ts, embedding) in order of time and id.
 
     A vector joins the most similar cluster (cluster, centroid, size) if that reaches the threshold, and moves its centroid,
-    as a running mean, before the next one is judged; else it stays at -1. The fold is inherently serial, so it runs once
-    for each value of ``partition`` (a topic or section), in parallel over them.
+    as a running mean, before the next one is judged. What joins none is clustered by density at the end; such clusters are
+    numbered on from the greatest of the part, their similarity is 0, and noise is -1. The fold is inherently serial, so it
+    runs once for each value of ``partition`` (a topic or section, a column of both tables), in parallel over them.
     """
-    part = F.col(partition).cast("string") if partition else F.lit("")
+    part = F.coalesce(F.col(partition).cast("string"), F.lit(""))
     rows = new.select(part.alias("part"), "id", "ts", F.col("embedding").cast("array<double>").alias("x"), F.lit(0).cast("long").alias("n"))
-    seeds = existing.select((F.col(partition).cast("string") if partition else F.lit("")).alias("part"), F.col("cluster").cast("long").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("centroid").alias("x"), F.col("size").cast("long").alias("n"))
+    seeds = existing.select(part.alias("part"), F.col("cluster").cast("long").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("centroid").alias("x"), F.col("size").cast("long").alias("n"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         seeds, rows = group[group["n"] > 0].sort_values("id"), group[group["n"] == 0].sort_values(["ts", "id"])
-        out = []
+        out, left = [], []
         sums = np.stack(seeds["x"].to_numpy()).astype(float) * seeds["n"].to_numpy()[:, None] if len(seeds) else None
-        counts, names = seeds["n"].to_numpy().copy(), seeds["id"].to_numpy()
+        names = seeds["id"].to_numpy()
         for r in rows.itertuples():
             x, found, best = np.asarray(r.x, float), -1, 0.0
             if sums is not None:
@@ -144,8 +145,13 @@ def update_clusters(new: DataFrame, existing: DataFrame, threshold: float = 0.85
                 if similar[i] > 0 and similar[i] >= threshold:
                     found, best = int(names[i]), float(similar[i])
                     sums[i] += x
-                    counts[i] += 1
-            out.append((r.part, r.id, found, best))
+            if found < 0:
+                left.append((len(out), x))
+            out.append([r.part, r.id, found, best])
+        if left:
+            top = int(names.max()) + 1 if len(names) else 0
+            for (at, _), label in zip(left, hdbscan(np.stack([x for _, x in left]), min_cluster_size, min_samples).tolist(), strict=True):
+                out[at][2] = top + label if label >= 0 else -1
         return pd.DataFrame(out, columns=["part", "id", "cluster", "similarity"])
 
     return rows.unionByName(seeds).groupBy("part").applyInPandas(run, "part string, id long, cluster long, similarity double")

@@ -85,10 +85,11 @@ def smooth(base: DataFrame, current: DataFrame, decay: float = 0.1) -> DataFrame
     return base.join(c, "dim").select("dim", ((1 - decay) * F.col("mean") + decay * F.col("m")).alias("mean"), ((1 - decay) * F.col("std") + decay * F.col("s")).alias("std"))
 
 
-def first_cluster(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, cluster_id): the first cluster (by ord) whose document_ids hold the document, -1 without one."""
-    members = clusters.select("cluster_id", "ord", F.explode("document_ids").alias("id")).groupBy("id").agg(F.min_by("cluster_id", "ord").alias("cluster_id"))
-    return docs.select("id").join(members, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+def first_cluster(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, cluster_id): the first cluster (by ord) that a document is a member of, -1 without one. members (cluster_id, ord,
+    id) has a row for each membership, so no cluster's documents are gathered."""
+    first = members.groupBy("id").agg(F.min_by("cluster_id", "ord").alias("cluster_id"))
+    return docs.select("id").join(first, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
 def centroid(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

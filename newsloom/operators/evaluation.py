@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.articles import hours
-from newsloom.operators.vectors import long_form, norm
+from newsloom.functions.arrays import let
+from newsloom.operators.vectors import CENTERS_AT_ONCE, against, dot, norm, shape_of, unit_cells
 
 
 def at_k(ranked: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50), truth: str = "truth", order: tuple = ()) -> DataFrame:
@@ -24,12 +25,28 @@ def _by_score(scored: DataFrame, score: str, truth: str) -> DataFrame:
     return scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(truth)).alias("p"))
 
 
+#: Ranges that ordered sums are computed in, side by side.
+RANGES = 200
+
+
+def _running(g: DataFrame, order: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+    """g with the sum of each column over the rows before, by ``order``. Rows are dealt to RANGES ranges of about as many rows;
+    the ranges' sums, a row each, are added up first, so no task orders more than a range."""
+    bounds = g.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    rows = g.withColumns(sums).withColumn("__r", F.size(F.filter(cuts, lambda c: c <= F.col(order))) * (-1 if descending else 1))
+    totals = rows.groupBy("__r").agg(*(F.sum(c).alias(f"t_{c}") for c in sums))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    totals = totals.select("__r", *(F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in sums))
+    within = Window.partitionBy("__r").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(totals), "__r").withColumns({c: F.col(f"t_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).drop("__r", *(f"t_{c}" for c in sums))
+
+
 def roc_auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """One row: area under the ROC curve with mid-ranks for ties; one half if a class is absent. Rows are first counted by
-    score, so only distinct scores are ordered."""
-    g = _by_score(scored, score, truth)
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    u = g.withColumn("u", F.col("p") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("p")) / 2))
+    score, and the distinct scores are ordered in ranges."""
+    g = _running(_by_score(scored, score, truth), "s", {"below": F.col("n") - F.col("p")})
+    u = g.withColumn("u", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     s = u.agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     pairs = F.col("p") * F.col("q")
     return s.select(F.when(F.coalesce(pairs, F.lit(0)) == 0, 0.5).otherwise(F.col("u") / F.when(pairs != 0, pairs)).alias("roc_auc"))
@@ -37,10 +54,8 @@ def roc_auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> Da
 
 def average_precision(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """One row: step-wise average precision; 0 without positives."""
-    g = _by_score(scored, score, truth)
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = g.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
-    s = steps.agg(F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("a"), F.sum("p").alias("p"))
+    g = _running(_by_score(scored, score, truth), "s", {"tp": F.col("p"), "seen": F.col("n")}, descending=True)
+    s = g.agg(F.sum(F.col("p") * (F.col("tp") + F.col("p")) / (F.col("seen") + F.col("n"))).alias("a"), F.sum("p").alias("p"))
     return s.select(F.when(F.coalesce("p", F.lit(0)) == 0, 0.0).otherwise(F.col("a") / F.when(F.col("p") != 0, F.col("p"))).alias("average_precision"))
 
 
@@ -70,19 +85,23 @@ def purity(assigned: DataFrame, cluster: str = "cluster", truth: str = "truth")
 
 def silhouette(vectors: DataFrame, id_: str = "vec_id", key: str = "label", vector: str = "embedding") -> DataFrame:
     """One row: the mean cosine silhouette, noise (-1) excluded, 0 with fewer than two clusters. The mean distance of a
-    unit vector to a cluster is 1 minus its dot product with the cluster's mean, so it is linear in vectors times clusters."""
+    unit vector to a cluster is 1 minus its dot product with the cluster's mean, so it is linear in vectors times clusters.
+    Clusters' sums are held against the vectors in blocks."""
     v = vectors.where(F.col(key) >= 0)
-    unit = v.select(id_, key, F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector))).alias("u"))
-    sizes = unit.groupBy(key).agg(F.count("*").alias("n"))
+    sizes = v.groupBy(key).agg(F.count("*").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "s")))
-    sums = long_form(unit, key, "u").groupBy(key, "dim").agg(F.sum("x").alias("s")).groupBy(key).agg(F.transform(ordered, lambda c: c["s"]).alias("sum")).join(sizes, key)
-    table = F.broadcast(sums.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "n", "sum"))).alias("c")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    far = F.transform("c", lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), (c["n"] - dot(F.col("u"), c["sum"])).alias("total")))
-    rows = unit.join(table).select(id_, key, far.alias("far"))
-    own = F.get(F.filter("far", lambda c: c["k"] == F.col(key)), 0)
-    other = F.array_min(F.transform(F.filter("far", lambda c: c["k"] != F.col(key)), lambda c: c["total"] / c["n"]))
-    rows = rows.select(F.size("far").alias("clusters"), own["n"].alias("n"), (own["total"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), other.alias("b"))
+    sums = unit_cells(v, [key], vector).groupBy(key, "dim").agg(F.sum("x").alias("s")).groupBy(key).agg(F.transform(ordered, lambda c: c["s"]).alias("centroid")).join(sizes, key)
+
+    def far(centers: Column) -> Column:
+        total = lambda n: lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), (c["n"] - F.when(n == 0, 0.0).otherwise(dot(F.col(vector), c["c"]) / F.when(n != 0, n))).alias("total"))
+        split = lambda t: F.struct(F.get(F.filter(t, lambda c: c["k"] == F.col(key)), F.lit(0)).alias("own"), F.array_min(F.transform(F.filter(t, lambda c: c["k"] != F.col(key)), lambda c: c["total"] / c["n"])).alias("b"))
+        return let(let(norm(F.col(vector)), lambda n: F.transform(centers, total(n))), split)
+
+    shape = shape_of(v, key, vector)
+    rows = against(v.select(id_, key, vector), sums, key, far, shape, ("n",)).select(id_, "taken.own", "taken.b")
+    if shape[0] > CENTERS_AT_ONCE:
+        rows = rows.groupBy(id_).agg(F.max("own").alias("own"), F.min("b").alias("b"))
+    rows = rows.select(F.col("own.n").alias("n"), (F.col("own.total") / F.greatest(F.col("own.n") - 1, F.lit(1))).alias("a"), "b")
     s = F.when((F.col("n") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return rows.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
 

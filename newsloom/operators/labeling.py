@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORGANIC, SUSPICIOUS, LIKELY, UNKNOWN = "ORGANIC", "SUSPICIOUS", "LIKELY_COORDINATED", "UNKNOWN"
+# The labels.
+ORGANIC, SUSPICIOUS, LIKELY, UNKNOWN = "organic", "suspicious", "likely_coordinated", "unknown"
 #: Ties of the vote go to the earlier label.
 PRIORITY = (ORGANIC, SUSPICIOUS, LIKELY)
 
@@ -22,19 +23,22 @@ class Thresholds:
 
 
 def rules(t: Thresholds = Thresholds()) -> dict[str, list[tuple[str, str, float]]]:
-    """Each function as (condition, label, weight), the first that holds; conditions are SQL over the cluster's signals."""
+    """Each function as (condition, label, weight), the first that holds; conditions are SQL over the cluster's signals.
+
+    Fixed values: the functions' names, bounds and weights.
+    """
     return {
-        "coordination_ratio": [(f"coordination_ratio > {t.ratio_likely}e0", LIKELY, 1.5), (f"coordination_ratio > {t.ratio_suspicious}e0", SUSPICIOUS, 1.0), ("coordination_ratio < 1.2e0", ORGANIC, 0.8)],
-        "duplicate_burst": [("duplicate_burst_score > 0.7e0", LIKELY, 1.3), (f"duplicate_burst_score > {t.duplicates}e0", SUSPICIOUS, 1.0), ("duplicate_burst_score < 0.1e0", ORGANIC, 0.7)],
-        "velocity_coherence": [("velocity_zscore > 4e0 and semantic_coherence > 0.8e0", LIKELY, 1.2), ("burst_detected and semantic_coherence > 0.7e0", SUSPICIOUS, 0.9)],
-        "semantic_duplication": [(f"semantic_coherence > {t.coherence}e0 and coordination_ratio > 1.5e0", SUSPICIOUS, 0.8)],
-        "small_cluster": [("size < 10 and coordination_ratio < 1.5e0", ORGANIC, 0.6)],
-        "large_organic": [("size > 50 and coordination_ratio < 1.3e0 and unique_authors > 40", ORGANIC, 1.0)],
+        "lf_coordination_ratio": [(f"coordination_ratio > {t.ratio_likely}e0", LIKELY, 1.5), (f"coordination_ratio > {t.ratio_suspicious}e0", SUSPICIOUS, 1.0), ("coordination_ratio < 1.2e0", ORGANIC, 0.8)],
+        "lf_duplicate_burst": [("duplicate_burst_score > 0.7e0", LIKELY, 1.3), (f"duplicate_burst_score > {t.duplicates}e0", SUSPICIOUS, 1.0), ("duplicate_burst_score < 0.1e0", ORGANIC, 0.7)],
+        "lf_temporal_burst": [("velocity_zscore > 4e0 and semantic_coherence > 0.8e0", LIKELY, 1.2), ("burst_detected and semantic_coherence > 0.7e0", SUSPICIOUS, 0.9)],
+        "lf_coherence_diversity": [(f"semantic_coherence > {t.coherence}e0 and coordination_ratio > 1.5e0", SUSPICIOUS, 0.8)],
+        "lf_small_cluster": [("size < 10 and coordination_ratio < 1.5e0", ORGANIC, 0.6)],
+        "lf_large_diverse": [("size > 50 and coordination_ratio < 1.3e0 and unique_authors > 40", ORGANIC, 1.0)],
     }
 
 
 def weak_labels(clusters: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """clusters with label, confidence, fired (names, comma-joined) and n_fired. No function fires: UNKNOWN, 0; a winner under
+    """clusters with label, confidence, fired (names, comma-joined) and n_fired. No function fires: unknown, 0; a winner under
     the least confidence: UNKNOWN with its confidence."""
     votes = []
     for name, cases in rules(t).items():

@@ -13,12 +13,12 @@ def stage(outlets: Column, diversity: Column, duration: Column) -> Column:
 
 
 def cluster_metrics(articles: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """One row for each cluster: size, distinct outlets and types, bias, span, velocity, origins and stage. One aggregation;
-    distinct outlets are counted as sets, which a cluster's outlets bound."""
+    """One row for each cluster: size, distinct outlets and types, bias, span, velocity, origins and stage. Outlets are counted
+    distinct after a shuffle by cluster and outlet, so a cluster's outlets are never gathered; types are a fixed few."""
     bias = bias_numeric(F.col("outlet_bias"))
     agg = articles.groupBy(key).agg(
         F.count("*").alias("size"),
-        F.size(F.collect_set("outlet")).cast("long").alias("unique_outlets"),
+        F.count_distinct("outlet").alias("unique_outlets"),
         F.sort_array(F.collect_set("outlet_type")).alias("types"),
         F.coalesce(F.stddev_samp(bias), F.lit(0.0)).alias("bias_spread"),
         F.coalesce(F.avg(bias), F.lit(0.0)).alias("bias_mean"),
@@ -80,7 +80,7 @@ def dataset_stats(articles: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(F.count_if(c), F.lit(0))
     return articles.agg(
         F.count("*").alias("total"),
-        F.size(F.collect_set("outlet")).cast("long").alias("outlets"),
+        F.count_distinct("outlet").alias("outlets"),
         *map(listed, ("outlet_type", "outlet_bias", "section", "pattern_topic", "pattern_type")),
         F.min("published_at").alias("first_ts"),
         F.max("published_at").alias("last_ts"),
@@ -98,3 +98,10 @@ def distribution(df: DataFrame, column: str, domain: tuple[str, ...] = ()) -> Da
         return counts
     spine = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, domain))).alias("value"))
     return spine.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def distribution_by(df: DataFrame, key: str, column: str, domain: tuple[str, ...]) -> DataFrame:
+    """(key, value, n): counts of each value of the domain for each key, those that don't occur zero."""
+    counts = df.groupBy(key, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    spine = df.select(key).distinct().withColumn("value", F.explode(F.array(*map(F.lit, domain))))
+    return spine.join(counts, [key, "value"], "left").select(key, "value", F.coalesce("n", F.lit(0)).alias("n"))

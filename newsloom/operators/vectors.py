@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.arrays import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -38,31 +40,76 @@ def as_arrays(cells: DataFrame, key: str, value: str = "value", out: str = "cent
     return cells.groupBy(key).agg(F.transform(ordered, lambda c: c[value]).alias(out))
 
 
+def unit_cells(vectors: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
+    """(keys, dim, x): the dimensions of each vector over its length; a zero vector has zeros. The length is computed once for
+    a vector and carried beside its dimensions."""
+    lengths = vectors.select(*keys, F.col(vector).alias("v"), norm(F.col(vector)).alias("length"))
+    return lengths.select(*keys, "length", F.posexplode("v").alias("dim", "x")).select(*keys, "dim", F.when(F.col("length") == 0, 0.0).otherwise(F.col("x").cast("double") / F.when(F.col("length") != 0, F.col("length"))).alias("x"))
+
+
 def coherence(vectors: DataFrame, key: str = "label", vector: str = "embedding") -> DataFrame:
     """(key, coherence): the mean cosine of all pairs, 1 for a single vector. With unit vectors u, k of them non-zero, it is
-    (|sum u|^2 - k) / (n (n - 1)): linear in the vectors instead of quadratic."""
-    length = norm(F.col(vector))
-    unit = vectors.select(key, F.when(length == 0, F.transform(vector, lambda x: F.lit(0.0))).otherwise(F.transform(vector, lambda x: x.cast("double") / F.when(length != 0, length))).alias("u"), (length > 0).alias("full"))
-    sums = long_form(unit, key, "u").groupBy(key, "dim").agg(F.sum("x").alias("s")).groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
-    sizes = unit.groupBy(key).agg(F.count("*").alias("n"), F.count_if("full").alias("k"))
+    (|sum u|^2 - k) / (n (n - 1)): linear in the vectors, and in their width."""
+    sums = unit_cells(vectors, [key], vector).groupBy(key, "dim").agg(F.sum("x").alias("s")).groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
+    sizes = vectors.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.exists(vector, lambda x: x != 0)).alias("k"))
     pairs = F.col("n") * (F.col("n") - 1)
     return sizes.join(sums, key).select(key, F.when(F.col("n") < 2, 1.0).otherwise((F.col("sq") - F.col("k")) / F.when(pairs != 0, pairs)).alias("coherence"))
 
 
+#: Centroids that are held against a vector at once, and bytes of them that are broadcast at once.
+CENTERS_AT_ONCE = 4096
+CENTERS_BYTES = 64 << 20
+
+
+def shape_of(vectors: DataFrame, key: str, vector: str) -> tuple[int, int]:
+    """(number of keys, width), from one narrow scan."""
+    size = vectors.agg(F.count_distinct(key).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    return size.n, size.d or 0
+
+
+def center_blocks(centers: DataFrame, key: str, extra: tuple[str, ...], shape: tuple[int, int]) -> list[DataFrame]:
+    """centers (key, centroid, extra) as tables of rows ``centers``, arrays of at most about CENTERS_AT_ONCE structs (k, c,
+    length, extra); no table is larger than CENTERS_BYTES, so each can be broadcast."""
+    rows, tables = max(1, -(-shape[0] // CENTERS_AT_ONCE)), max(1, -(-shape[0] * shape[1] * 8 // CENTERS_BYTES))
+    one = F.struct(F.col(key).alias("k"), F.col("centroid").alias("c"), norm(F.col("centroid")).alias("length"), *extra)
+    dealt = centers.select(F.pmod(F.xxhash64(key), F.lit(max(rows, tables))).alias("block"), one.alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("centers"))
+    return [dealt.where(F.col("block") % tables == t).select("centers") for t in range(tables)]
+
+
+def against(rows: DataFrame, centers: DataFrame, key: str, take: Callable[[Column], Column], shape: tuple[int, int], extra: tuple[str, ...] = ()) -> DataFrame:
+    """rows with ``taken``, what ``take`` gives for an array of centroids, a row for each block of them; a stated set of
+    centroids against all rows, in blocks."""
+    parts = [rows.join(F.broadcast(t)).withColumn("taken", take(F.col("centers"))).drop("centers") for t in center_blocks(centers, key, extra, shape)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cosine_to(vector: Column, length: Column, x: Column) -> Column:
+    """Cosine of a vector to a centroid struct, both lengths known."""
+    both = length * x["length"]
+    return F.when(both == 0, 0.0).otherwise(dot(vector, x["c"]) / F.when(both != 0, both))
+
+
 def similar_clusters(vectors: DataFrame, key: str = "label", threshold: float = 0.8, vector: str = "embedding") -> DataFrame:
-    """(a, b, similarity): pairs of clusters whose centroids are at least so similar. Clusters are few; their number is what
-    is squared, not the vectors'."""
+    """(a, b, similarity): pairs of clusters whose centroids are at least so similar. Each centroid is held against blocks of
+    centroids; only pairs that reach the threshold become rows."""
     c = as_arrays(centroids(vectors, key, vector), key)
-    a, b = c.select(F.col(key).alias("a"), F.col("centroid").alias("ca")), c.select(F.col(key).alias("b"), F.col("centroid").alias("cb"))
-    return a.join(b, F.col("a") < F.col("b")).withColumn("similarity", cosine(F.col("ca"), F.col("cb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    similar = lambda length: lambda x: F.struct(x["k"].alias("b"), cosine_to(F.col("centroid"), length, x).alias("similarity"))
+    take = lambda centers: let(norm(F.col("centroid")), lambda n: F.filter(F.transform(F.filter(centers, lambda x: x["k"] > F.col(key)), similar(n)), lambda x: x["similarity"] >= threshold))
+    return against(c, c, key, take, shape_of(vectors, key, vector)).select(F.col(key).alias("a"), F.explode("taken").alias("x")).select("a", "x.b", "x.similarity")
 
 
 def nearest_centroid(vectors: DataFrame, centers: DataFrame, id_: str = "vec_id", key: str = "label", threshold: float = 0.85, vector: str = "embedding") -> DataFrame:
     """(id, key, similarity): the most similar frozen centroid if it reaches the threshold, ties to the least key. centers
-    (key, centroid) is gathered to one row, so no pair of a vector and a centroid is ever materialised."""
-    table = F.broadcast(centers.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("centers")))
-    best = F.array_max(F.transform("centers", lambda c: F.struct(cosine(F.col(vector), c["c"]).alias("s"), (-c["k"]).alias("nk"))))
-    return vectors.join(table).select(F.col(id_).alias("id"), best.alias("b")).select("id", (-F.col("b.nk")).alias(key), F.col("b.s").alias("similarity")).where(F.col("similarity") >= threshold)
+    (key, centroid) are held against the vectors in blocks; lengths are computed once on both sides."""
+    best = lambda centers: let(norm(F.col(vector)), lambda n: F.array_max(F.transform(centers, lambda x: F.struct(cosine_to(F.col(vector), n, x).alias("s"), (-x["k"]).alias("nk")))))
+    shape = shape_of(centers, key, "centroid")
+    b = against(vectors.select(F.col(id_).alias("id"), vector), centers, key, best, shape).select("id", F.col("taken").alias("b"))
+    if shape[0] > CENTERS_AT_ONCE:
+        b = b.groupBy("id").agg(F.max("b").alias("b"))
+    return b.select("id", (-F.col("b.nk")).alias(key), F.col("b.s").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -76,13 +76,16 @@ def sliding_delta(rows: DataFrame, ts: str = "ts", id_: str = "event_id", size:
 
 
 def sliding_members(rows: DataFrame, ts: str = "ts", id_: str = "event_id", size: str = "4h", step: str = "1h") -> DataFrame:
-    """(w, id, state): new, retained or expired, row by row."""
+    """(w, id, state): new, retained or expired, row by row; what leaves the last window is not told. One ordering of each id's
+    windows, no self-join."""
     seen = assign(rows.select(ts, id_), ts, size, step).select("w", F.col(id_).alias("id")).distinct()
-    before = seen.select((F.col("w") + 1).alias("w"), "id")
-    new = seen.join(before, ["w", "id"], "left_anti").withColumn("state", F.lit("new"))
-    kept = seen.join(before, ["w", "id"], "left_semi").withColumn("state", F.lit("retained"))
-    gone = before.join(seen, ["w", "id"], "left_anti").join(F.broadcast(seen.agg(F.max("w").alias("top"))), F.col("w") <= F.col("top")).select("w", "id", F.lit("expired").alias("state"))
-    return new.unionByName(kept).unionByName(gone)
+    order = Window.partitionBy("id").orderBy("w")
+    last = F.broadcast(spine(rows.select(ts), ts, step).agg(F.max("w").alias("top")))  # one row
+    marked = seen.withColumn("state", F.when(F.lag("w").over(order) == F.col("w") - 1, "retained").otherwise("new")).withColumn("goes", ~F.coalesce(F.lead("w").over(order) == F.col("w") + 1, F.lit(False)))
+    here = F.struct("w", "state")
+    gone = F.struct((F.col("w") + 1).alias("w"), F.lit("expired").alias("state"))
+    both = F.when(F.col("goes") & (F.col("w") < F.col("top")), F.array(here, gone)).otherwise(F.array(here))
+    return marked.join(last).select("id", F.inline(both)).select("w", "id", "state")
 
 
 def by_topic(rows: DataFrame, topic: str = "event_type", ts: str = "ts", id_: str = "event_id") -> DataFrame:

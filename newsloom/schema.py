@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import types as T
 
 # The domains of the data model.
@@ -14,7 +12,7 @@ STAGE_ORDER = {"nascent": 0, "emerging": 1, "spreading": 2, "established": 3, "d
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 WIRE_SOURCES = ("Reuters", "AP", "AFP", "Original", "Press Release", "Unknown")
 WIRE_ORIGINS = ("Reuters", "AP", "AFP")
-LABELS = ("ORGANIC", "SUSPICIOUS", "LIKELY_COORDINATED", "UNKNOWN")
+LABELS = ("organic", "suspicious", "likely_coordinated", "unknown")
 
 #: A raw CSV row: everything is text until it is validated.
 RAW_COLUMNS = ("id", "outlet", "outlet_type", "outlet_bias", "title", "body", "author", "url", "section", "published_at", "wire_source", "pattern_type", "pattern_topic", "keywords", "pr_source", "convergent_frame", "coordinated_frame")
@@ -32,19 +30,3 @@ FEEDBACK = T.StructType(
     ]
 )
 
-
-@dataclass(frozen=True)
-class Settings:
-    """Defaults of the engine; every operator takes its own as parameters."""
-
-    embedding_model: str = "all-MiniLM-L6-v2"
-    embedding_dim: int = 384
-    min_cluster_size: int = 3
-    min_samples: int = 2
-    port: int = 8000
-    window: str = "4h"
-    similar_clusters: float = 0.8
-    assign_threshold: float = 0.85
-    ratio_suspicious: float = 2.0
-    ratio_likely: float = 5.0
-    retrain_threshold: int = 100

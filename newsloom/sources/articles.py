@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.schema import BIAS, OUTLET_TYPES, PATTERN_STRENGTH, RAW_ARTICLE, WIRE_SOURCES
@@ -12,11 +12,15 @@ def read_raw(spark: SparkSession, path: str, limit: int | None = None) -> DataFr
     """A CSV file or folder as text columns with the order of reading in ``ord``; limit None or 0 reads all."""
     raw = spark.read.schema(RAW_ARTICLE).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
     raw = raw.withColumn("ord", F.monotonically_increasing_id())
-    return raw.limit(limit) if limit else raw
+    return raw.orderBy("ord").limit(limit) if limit else raw
+
+
+#: Cells that are read as blank.
+BLANKS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def _blank(c: Column) -> Column:
-    return F.when(c.isNull() | c.isin("", "nan", "NaN"), None).otherwise(c)
+    return F.when(c.isNull() | c.isin(*BLANKS), None).otherwise(c)
 
 
 def validate(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +61,14 @@ def load(spark: SparkSession, path: str, limit: int | None = None, strict: bool
 
 
 def chunks(spark: SparkSession, path: str, size: int = 100) -> DataFrame:
-    """Valid articles with the number of their chunk of ``size`` rows in reading order."""
-    return load(spark, path).withColumn("chunk", F.floor(F.col("ord") / size))
+    """Valid articles with the number of their chunk of ``size`` rows in reading order. Rows are numbered within the part of
+    the scan they came from and moved on by the counts of the parts before, a row each."""
+    rows = load(spark, path).withColumn("__part", F.shiftright("ord", 33))
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")  # a row for each part of the scan
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("ord")) - 1
+    moved = rows.withColumn("__place", place).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    return moved.withColumn("chunk", F.floor((F.col("__before") + F.col("__place")) / size)).drop("__part", "__place", "__before")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -78,7 +88,9 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
     try:
         return spark.read.schema(FEEDBACK).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], FEEDBACK)
 
 
@@ -104,7 +116,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(tuple(BIAS), u % 5).alias("outlet_bias"), pick(WIRE_SOURCES, u % 6).alias("wire_source"),
         F.substring_index("text", "\n", 1).alias("title"), F.when(cut > 0, F.substring("text", cut + 1, F.length("text"))).otherwise("").alias("body"),
         pick((*PATTERN_STRENGTH, None), i % 6).alias("pattern_type"), "pattern_topic", "section",
-        F.slice(F.split("text", " "), 1, 5).alias("keywords"),
+        F.split("text", " ").alias("keywords"),
         F.when(i % 7 == 0, "PRWire").alias("pr_source"),
         F.when(i % 11 == 0, F.concat(F.lit("frame"), (i % 3).cast("string"))).alias("coordinated_frame"),
         F.when(i % 4 == 0, F.concat(F.lit("view"), (i % 2).cast("string"))).alias("convergent_frame"),
@@ -119,7 +131,7 @@ ARTICLES_SQL = """articles AS (SELECT vec_id AS id, label AS cluster_id, ts AS p
   (['Reuters','AP','AFP','Original','Press Release','Unknown'])[user_id % 6 + 1] AS wire_source,
   split_part(text, chr(10), 1) AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body,
   (['wire_echo','independent_reporting','pr_amplification','narrative_convergence','synchronized_messaging',NULL])[vec_id % 6 + 1] AS pattern_type,
-  source AS pattern_topic, lang AS section, (string_split(text, ' '))[1:5] AS keywords,
+  source AS pattern_topic, lang AS section, string_split(text, ' ') AS keywords,
   CASE WHEN vec_id % 7 = 0 THEN 'PRWire' END AS pr_source,
   CASE WHEN vec_id % 11 = 0 THEN 'frame' || (vec_id % 3) END AS coordinated_frame,
   CASE WHEN vec_id % 4 = 0 THEN 'view' || (vec_id % 2) END AS convergent_frame,
