@@ -1 +1 @@
-"""Whole dataflows: the engine and its batch run."""
+"""Whole runs composed of operators."""

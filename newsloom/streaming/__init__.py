@@ -1 +1 @@
-"""Structured Streaming forms of the batch operators."""
+"""Structured Streaming over the same windows."""
