@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,31 @@ def holdout(rows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     return rows.withColumn("test", F.percent_rank().over(order) < share)
 
 
+#: A model is calibrated only on more rows than this.
+CALIBRATE_ABOVE = 50
+Calibrated = tuple[tuple[PipelineModel, dict[str, tuple[float, float]]], IsotonicRegressionModel | None]
+
+
+def fit_calibrated(rows: DataFrame, kind: str = "gradient_boosting", seed: int = 42) -> Calibrated:
+    """A model, and what isotonic regression makes of its probabilities on a fifth of each class that it did not learn from; with
+    at most CALIBRATE_ABOVE rows the model learns from all and stays as it is."""
+    if len(rows.limit(CALIBRATE_ABOVE + 1).collect()) <= CALIBRATE_ABOVE:
+        return fit(rows, kind, seed), None
+    parts = holdout(rows, 0.2, seed)
+    model = fit(parts.where("not test").drop("test"), kind, seed)
+    held = parts.where("test").drop("test")
+    told = predict(model, held).join(held.select("cluster_id", F.col("label").cast("double").alias("label")), "cluster_id")
+    return model, IsotonicRegression(featuresCol="probability", labelCol="label", predictionCol="calibrated").fit(told)
+
+
+def predict_calibrated(model: Calibrated, rows: DataFrame) -> DataFrame:
+    """(cluster_id, probability, prediction): the calibrated probability, and whether it reaches one half."""
+    out = predict(model[0], rows)
+    if model[1] is not None:
+        out = model[1].transform(out).select("cluster_id", F.col("calibrated").alias("probability"))
+    return out.select("cluster_id", "probability", (F.col("probability") >= 0.5).cast("int").alias("prediction"))
+
+
 def from_weak_labels(labelled: DataFrame, least: float = 0.5) -> DataFrame:
     """Training rows of weak labels: unknown and unsure ones go, organic is 0, others 1, weighted by confidence; fewer than
     ten rows raise."""

@@ -115,3 +115,27 @@ def lead_times(alerts: DataFrame, peaks: DataFrame) -> DataFrame:
 def summarize(values: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
     """Mean, population deviation, least, greatest and number of each metric over folds."""
     return values.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count("*").alias("n"))
+
+
+def evaluate_classifier(scored: DataFrame, predicted: Column, score: str = "score", truth: str = "truth") -> DataFrame:
+    """One row: confusion(), roc_auc (one half if a class is absent) and average_precision (0 if a class is absent)."""
+    both = F.broadcast(scored.agg((F.count_if(F.col(truth)) * F.count_if(~F.col(truth)) > 0).alias("__both")))
+    row = confusion(scored, predicted, truth).join(roc_auc(scored, score, truth)).join(average_precision(scored, score, truth)).join(both)  # one row each
+    return row.withColumn("average_precision", F.when(F.col("__both"), F.col("average_precision")).otherwise(0.0)).drop("__both")
+
+
+def evaluate_alerts(scored: DataFrame, alerts: DataFrame, peaks: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """One row: number of items, tp, fp, fn, tn, precision, recall and f1 of scores from the median up, roc_auc (one half if a class
+    is absent), average_precision (the base rate if one is), and the lead times of alerts before peaks."""
+    t = F.col(truth)
+    rates = F.broadcast(scored.agg(F.count("*").alias("items"), F.coalesce(F.avg(t.cast("double")), F.lit(0.0)).alias("__rate")))
+    row = confusion_at_median(scored, score, truth).drop("accuracy").join(roc_auc(scored, score, truth)).join(average_precision(scored, score, truth)).join(rates)  # one row each
+    some = (F.col("__rate") > 0) & (F.col("__rate") < 1)
+    row = row.withColumn("average_precision", F.when(some, F.col("average_precision")).otherwise(F.col("__rate"))).drop("__rate")
+    return row.join(lead_times(alerts, peaks).withColumnRenamed("n", "leads"))
+
+
+def evaluate_clustering(vectors: DataFrame, id_: str = "vec_id", key: str = "label", truth: str = "truth", vector: str = "embedding") -> DataFrame:
+    """One row: the number of clusters without noise, silhouette and purity."""
+    n = vectors.agg(F.count_distinct(F.when(F.col(key) >= 0, F.col(key))).alias("n_clusters"))
+    return n.join(silhouette(vectors, id_, key, vector)).join(purity(vectors, key, truth))

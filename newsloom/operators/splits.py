@@ -47,27 +47,34 @@ def split_info(rows: DataFrame, ts: str = "ts", ratios: tuple[float, float, floa
     return time_split(rows, ts, ratios, gap_days).groupBy("split").agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def _folds(rows: DataFrame, ts: str, folds: list[tuple[int, int, int, int]]) -> DataFrame:
-    """rows for each fold with fold and role; folds without a train or a test row go."""
+def durations(rows: DataFrame, ts: str = "ts", ratios: tuple[float, float, float] = (0.6, 0.2, 0.2), gap_days: float = 1.0) -> DataFrame:
+    """(split, days): the whole days, of 24 hours, between the first and the last row of each part of a time split."""
+    return split_info(rows, ts, ratios, gap_days).select("split", F.floor((micros(F.col("last_ts")) - micros(F.col("first_ts"))) / F.lit(DAY)).alias("days"))
+
+
+def _folds(rows: DataFrame, ts: str, folds: list[tuple[int, int, int, int]], end: str | None = None) -> DataFrame:
+    """rows for each fold with fold and role; folds without a train or a test row go. ``end`` ends a row's interval: train is
+    decided by it, test by the start."""
     listed = F.array(*(F.struct(F.lit(i).alias("fold"), *(F.lit(v).cast("long").alias(n) for n, v in zip(("from", "to", "start", "stop"), f, strict=True))) for i, f in enumerate(folds))) if folds else F.array().cast("array<struct<fold:int,from:bigint,to:bigint,start:bigint,stop:bigint>>")
-    t = micros(F.col(ts))
-    marked = rows.select("*", F.inline(listed)).withColumn("role", F.when((t >= F.col("from")) & (t < F.col("to")), "train").when((t >= F.col("start")) & (t < F.col("stop")), "test")).where("role is not null")
+    t, e = micros(F.col(ts)), micros(F.col(end or ts))
+    marked = rows.select("*", F.inline(listed)).withColumn("role", F.when((t >= F.col("from")) & (e < F.col("to")), "train").when((t >= F.col("start")) & (t < F.col("stop")), "test")).where("role is not null")
     both = marked.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b")).where("a > 0 and b > 0").select("fold")
     return marked.join(F.broadcast(both), "fold").select("fold", "role", *rows.columns)
 
 
-def walk_forward(rows: DataFrame, ts: str = "ts", initial: float = 30, test: float = 7, step: float = 7, gap: float = 1) -> DataFrame:
-    """Train on all before, test on the next ``test`` days after a gap, moving on by ``step`` days."""
-    found = _extremes(rows, ts, ts)
+def walk_forward(rows: DataFrame, ts: str = "ts", initial: float = 30, test: float = 7, step: float = 7, gap: float = 1, end: str | None = None) -> DataFrame:
+    """Train on all before, test on the next ``test`` days after a gap, moving on by ``step`` days. Of intervals (clusters), with
+    ``end``, those that end before a fold's bound are trained on, and the folds reach to the end of the one that starts last."""
+    found = _extremes(rows, ts, end or ts)
     folds = []
     if found:
         lo, hi = found
-        end = lo + int(initial * DAY)
-        while end + int((gap + test) * DAY) <= hi:
-            start = end + int(gap * DAY)
-            folds.append((lo, end, start, start + int(test * DAY)))
-            end += int(step * DAY)
-    return _folds(rows, ts, folds)
+        bound = lo + int(initial * DAY)
+        while bound + int((gap + test) * DAY) <= hi:
+            start = bound + int(gap * DAY)
+            folds.append((lo, bound, start, start + int(test * DAY)))
+            bound += int(step * DAY)
+    return _folds(rows, ts, folds, end)
 
 
 def n_splits(rows: DataFrame, ts: str = "ts", initial: int = 30, test: int = 7, step: int = 7, gap: int = 1) -> int:
