@@ -2,57 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distances that a clustering task holds at once, about: rows are taken in blocks of so many pairs.
 BLOCK_PAIRS = 4_000_000
 
+#: Rows of a block. Tables of more rows are clustered by pairs of blocks, a task each.
+TILE = 2048
 
-def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> np.ndarray:
-    """Labels of the rows (-1: noise) by hierarchical density clustering: mutual reachability, minimum spanning tree,
-    condensed tree, excess of mass. A point is its own first neighbour. Clusters are numbered by their first member. Memory
-    grows with the rows, not with their pairs: distances are made in blocks, and again for each point as the tree takes it."""
-    n = len(x)
-    labels = np.full(n, -1)
-    if n < max(2, min_cluster_size):
-        return labels
-    sq = (x**2).sum(1)
-    k, core = min(min_samples, n) - 1, np.empty(n)
-    for a in range(0, n, block := max(1, BLOCK_PAIRS // n)):
-        d = np.sqrt(np.maximum(sq[a : a + block, None] + sq[None, :] - 2 * x[a : a + block] @ x.T, 0))
-        core[a : a + block] = np.partition(d, k, axis=1)[:, k]
+#: Forests that one task joins.
+FOREST_FAN = 16
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b. Those that a product of matrices would round away are taken from the
+    differences, so that equal rows are 0 apart."""
+    total = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :]
+    d = total - 2 * a @ b.T
+    i, j = np.nonzero(d <= 1e-6 * total)
+    for at in range(0, len(i), 65_536):
+        p, q = i[at : at + 65_536], j[at : at + 65_536]
+        d[p, q] = ((a[p] - b[q]) ** 2).sum(1)
+    return np.sqrt(d)
 
-    def reach(j: int) -> np.ndarray:
-        return np.maximum(np.sqrt(np.maximum(sq[j] + sq - 2 * x @ x[j], 0)), np.maximum(core[j], core))
 
-    # Prim's tree
-    best, near, todo = reach(0), np.zeros(n, int), np.ones(n, bool)
+def spanning_tree(n: int, reach: Callable[[int], np.ndarray]) -> list[tuple[float, int, int]]:
+    """Edges (length, a, b), a < b, of the minimum spanning tree, the least by (length, a, b), so that it is the only one.
+    ``reach`` gives the lengths from one point to all."""
+    places = np.arange(n)
+    best, todo = reach(0), np.ones(n, bool)
+    edge = places.copy()  # a * n + b of the edge that is best
     todo[0] = False
     edges = []
     for _ in range(n - 1):
-        j = int(np.argmin(np.where(todo, best, np.inf)))
-        edges.append((best[j], int(near[j]), j))
+        open_ = np.flatnonzero(todo)
+        near = open_[best[open_] == best[open_].min()]
+        j = int(near[np.argmin(edge[near])])
+        edges.append((float(best[j]), *divmod(int(edge[j]), n)))
         todo[j] = False
-        d = reach(j)
-        closer = todo & (d < best)
-        best[closer], near[closer] = d[closer], j
-    edges.sort()
-    # single-linkage tree: nodes n.. are merges
-    top, children, size, height = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1), [0.0] * (2 * n - 1)
+        d, e = reach(j), np.minimum(places, j) * n + np.maximum(places, j)
+        closer = todo & ((d < best) | ((d == best) & (e < edge)))
+        best[closer], edge[closer] = d[closer], e[closer]
+    return edges
+
+
+class Sets:
+    """Disjoint sets of 0 to n - 1."""
+
+    def __init__(self, n: int) -> None:
+        self.top = list(range(n))
 
-    def root(a: int) -> int:
+    def find(self, a: int) -> int:
+        top = self.top
         while top[a] != a:
             top[a] = top[top[a]]
             a = top[a]
         return a
 
-    for k, (w, a, b) in enumerate(edges):
-        a, b, node = root(a), root(b), n + k  # noqa: PLW2901
-        top[a] = top[b] = node
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.top[b] = a
+        return a != b
+
+
+def cut_tree(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
+    """Labels of n points from the edges of their spanning tree, in order: condensed tree, excess of mass. Merges of one height
+    are one merge of many, so the order of ties does not matter. Memory grows with the points."""
+    labels = np.full(n, -1)
+    if n < max(2, min_cluster_size):
+        return labels
+    # single-linkage tree: nodes n.. are merges
+    sets, children, size, height = Sets(2 * n - 1), {}, [1] * n + [0] * (n - 1), [0.0] * (2 * n - 1)
+    node = n
+    for w, a, b in edges:
+        a, b = sets.find(a), sets.find(b)  # noqa: PLW2901
+        if a == b:
+            continue
+        sets.top[a] = sets.top[b] = node
         children[node], size[node], height[node] = (a, b), size[a] + size[b], w
+        node += 1
+
+    def parts(node: int) -> list[int]:
+        out, stack = [], list(children[node])
+        while stack:
+            c = stack.pop()
+            if c >= n and height[c] == height[node]:
+                stack += children[c]
+            else:
+                out.append(c)
+        return out
 
     def points(node: int) -> list[int]:
         out, stack = [], [node]
@@ -71,10 +114,10 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> n
         if node < n:
             continue
         rate = density(height[node])
-        large = [k for k in children[node] if size[k] >= min_cluster_size]
-        if len(large) == 2:
+        large = [k for k in parts(node) if size[k] >= min_cluster_size]
+        if len(large) > 1:
             stability[c] += (rate - births[c]) * size[node]
-            for k in children[node]:
+            for k in large:
                 births.append(rate)
                 stability.append(0.0)
                 splits.append([])
@@ -104,21 +147,109 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> n
     return labels
 
 
+def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 2) -> np.ndarray:
+    """Labels of the rows (-1: noise) by hierarchical density clustering: mutual reachability, minimum spanning tree,
+    condensed tree, excess of mass. A point is its own first neighbour. Clusters are numbered by their first member. Memory
+    grows with the rows, not with their pairs: distances are made in blocks, and again for each point as the tree takes it."""
+    n = len(x)
+    if n < max(2, min_cluster_size):
+        return np.full(n, -1)
+    k, core = min(min_samples, n) - 1, np.empty(n)
+    for a in range(0, n, block := max(1, BLOCK_PAIRS // n)):
+        core[a : a + block] = np.partition(distances(x[a : a + block], x), k, axis=1)[:, k]
+    reach = lambda j: np.maximum(distances(x[j : j + 1], x)[0], np.maximum(core[j], core))
+    return cut_tree(n, sorted(spanning_tree(n, reach)), min_cluster_size)
+
+
+def _vectors(rows: pd.DataFrame) -> np.ndarray:
+    if rows["x"].isna().any():
+        raise ValueError("a vector is null; encode all rows first")
+    return np.stack(rows["x"].to_numpy()).astype(float)
+
+
 def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
-    """(group, id, cluster) of every vector, all at once or each group (a window, a topic) clustered apart, a clustering in one
-    task of memory in proportion to its vectors and time to their pairs; -1 is noise. A null vector raises."""
+    """(group, id, cluster) of every vector, all at once or each group (a window, a topic) clustered apart; -1 is noise. A null
+    vector raises. If a group has more than TILE rows, distances are made by pairs of blocks; otherwise a task clusters a
+    group. The results are the same."""
+    rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest > TILE:
+        return _cluster_tiled(rows, sizes, largest, min_cluster_size, min_samples)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["x"].isna().any():
-            raise ValueError("a vector is null; encode all rows first")
         rows = rows.sort_values("id")
-        labels = hdbscan(np.stack(rows["x"].to_numpy()).astype(float), min_cluster_size, min_samples)
-        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": labels})
+        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": hdbscan(_vectors(rows), min_cluster_size, min_samples)})
 
-    rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).alias("x"))
     return rows.groupBy("group").applyInPandas(run, "group string, id long, cluster int")
 
 
+def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, min_cluster_size: int, min_samples: int) -> DataFrame:
+    """cluster() of groups of any size. Rows are dealt to blocks of about TILE. Each pair of blocks gives the nearest distances
+    of its rows and, once all are known, the spanning tree of its mutual reachabilities. An edge of the whole tree is in the
+    tree of every part that holds it, so the trees are joined, FOREST_FAN at a time, without loss. Vectors meet by two blocks
+    only; the last task of a group holds an edge and an id for each of its rows."""
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = rows.join(sizes.withColumnRenamed("group", "__g"), F.col("group").eqNullSafe(F.col("__g"))).drop("__g").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("long"))
+    place = F.row_number().over(Window.partitionBy("group", "block").orderBy("id", "x"))
+    points = dealt.withColumn("code", F.col("block") * (1 << 31) + place)
+
+    def tiles(points: DataFrame) -> DataFrame:
+        met = points.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def nearest(tile: pd.DataFrame) -> pd.DataFrame:
+        x, codes, first = _vectors(tile), tile["code"].to_numpy(), (tile["block"] == tile["i"]).to_numpy()
+        within = tile["i"].iat[0] == tile["j"].iat[0]
+        out = []
+        for a, b in [(first, first)] if within else [(first, ~first), (~first, first)]:
+            k = min(min_samples, int(b.sum()))
+            near = np.partition(distances(x[a], x[b]), k - 1, axis=1)[:, :k] if k else np.empty((int(a.sum()), 0))
+            out.append(pd.DataFrame({"group": tile["group"].iat[0], "code": codes[a], "near": list(near)}))
+        return pd.concat(out)
+
+    found = tiles(points).select("group", "code", "block", "i", "j", "x").groupBy("group", "i", "j").applyInPandas(nearest, "group string, code long, near array<double>")
+    kth = F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, min_samples), -1)
+    cores = found.groupBy(F.col("group").alias("__g"), F.col("code").alias("__c")).agg(kth.alias("core"))
+    reached = points.join(cores, F.col("group").eqNullSafe(F.col("__g")) & (F.col("code") == F.col("__c"))).drop("__g", "__c")
+
+    def tree(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("code")
+        x, codes, core, i = _vectors(tile), tile["code"].to_numpy(), tile["core"].to_numpy(), (tile["block"] == tile["i"]).to_numpy()
+        d = np.empty((len(x), len(x)))
+        for a, b in ((i, i), (i, ~i), (~i, ~i)):  # the same products in every tile, so that an edge has one length
+            d[np.ix_(a, b)] = part = distances(x[a], x[b])
+            d[np.ix_(b, a)] = part.T
+        edges = spanning_tree(len(x), lambda p: np.maximum(d[p], np.maximum(core[p], core)))
+        w, a, b = zip(*edges, strict=True) if edges else ((), (), ())
+        return pd.DataFrame({"group": tile["group"].iat[0], "t": tile["i"].iat[0] * tile["blocks"].iat[0] + tile["j"].iat[0], "w": np.array(w, float), "a": codes[list(a)], "b": codes[list(b)]})
+
+    schema = "group string, t long, w double, a long, b long"
+    forests = tiles(reached).where("i < j or blocks = 1").select("group", "code", "block", "blocks", "i", "j", "x", "core").groupBy("group", "i", "j").applyInPandas(tree, schema)
+
+    def joined(edges: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.sort_values(["w", "a", "b"])
+        names, ends = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
+        sets, ends = Sets(len(names)), ends.reshape(-1, 2).tolist()
+        return edges[[sets.join(a, b) for a, b in ends]]
+
+    trees = (-(-largest // TILE)) ** 2
+    while trees > FOREST_FAN:
+        forests = forests.withColumn("t", F.floor(F.col("t") / FOREST_FAN)).groupBy("group", "t").applyInPandas(joined, schema)
+        trees = -(-trees // FOREST_FAN)
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows[rows["w"].isna()].sort_values(["b", "a"])
+        edges = rows[rows["w"].notna()].sort_values(["w", "a", "b"])
+        at = pd.Series(np.arange(len(points)), index=points["a"].to_numpy())
+        listed = list(zip(edges["w"].tolist(), at.loc[edges["a"]].tolist(), at.loc[edges["b"]].tolist(), strict=True))
+        return pd.DataFrame({"group": points["group"], "id": points["b"], "cluster": cut_tree(len(points), listed, min_cluster_size)})
+
+    named = points.select("group", F.lit(None).cast("double").alias("w"), F.col("code").alias("a"), F.col("id").alias("b"))
+    return forests.select("group", "w", "a", "b").unionByName(named).groupBy("group").applyInPandas(label, "group string, id long, cluster int")
+
+
 def update_clusters(new: DataFrame, existing: DataFrame, partition: str, threshold: float = 0.85, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
     """Sequential assignment: (part, id, cluster, similarity) of each new vector (id, ts, embedding) in order of time and id.
 

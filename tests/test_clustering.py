@@ -1,6 +1,10 @@
 """Density clustering of whole tables."""
 
+import itertools
+import math
+
 import numpy as np
+import pytest
 
 from newsloom import catalog
 from newsloom.operators import clustering
@@ -35,3 +39,130 @@ def test_more_vectors_than_fit_as_pairs(spark):
     assert len(out) == len(x)
     assert {r.cluster for r in out if r.id <= 10_000 and r.cluster >= 0} == {0}
     assert {r.cluster for r in out if r.id > 10_000 and r.cluster >= 0} == {1}
+
+
+def by_definition(x, least, samples):
+    """Clusters as a set of sets: components of the mutual reachability graph under falling bounds, by all pairs."""
+    n = len(x)
+    d = [[math.dist(a, b) for b in x] for a in x]
+    core = [sorted(row)[min(samples, n) - 1] for row in d]
+    reach = lambda a, b: max(d[a][b], core[a], core[b])
+
+    def components(members, bound):
+        left, out = set(members), []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                a = todo.pop()
+                part.add(a)
+                near = {b for b in left if reach(a, b) < bound}
+                left -= near
+                todo += near
+            out.append(part)
+        return out
+
+    def bottleneck(members):  # the least bound that keeps them connected
+        heights = sorted({reach(a, b) for a, b in itertools.combinations(members, 2)})
+        low, high = 0, len(heights) - 1
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if len(components(members, math.nextafter(heights[mid], math.inf))) == 1 else (mid + 1, high)
+        return heights[low]
+
+    def grow(members, birth):
+        """(mass, clusters) of a cluster born with these members, and whether it is the answer itself."""
+        mass, now = 0.0, set(members)
+        while True:
+            h = bottleneck(now)
+            rate = 1 / max(h, 1e-12)
+            large = [c for c in components(now, h) if len(c) >= least]
+            if len(large) > 1:
+                mass += (rate - birth) * len(now)
+                below = [grow(c, rate) for c in large]
+                return mass, below, members
+            mass += (rate - birth) * (len(now) - sum(map(len, large)))
+            if not large or len(large[0]) < 2:
+                return mass, [], members
+            now = large[0]
+
+    def best(tree):
+        mass, below, members = tree
+        picked = [best(b) for b in below]
+        total = sum(m for m, _ in picked)
+        return (total, [c for _, cs in picked for c in cs]) if below and total > mass else (mass, [frozenset(members)])
+
+    if n < max(2, least):
+        return set()
+    return {c for b in grow(set(range(n)), 0.0)[1] for c in best(b)[1]}
+
+
+def as_sets(labels):
+    return {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels[labels >= 0].tolist())}
+
+
+def small(seed):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(60, 3)) + draw.integers(0, 3, (60, 1)) * 4
+    x[50:] = x[40:50]  # copies
+    return x
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize(("least", "samples"), [(3, 2), (5, 4), (2, 1)])
+def test_density_clusters_by_definition(seed, least, samples):
+    x = small(seed)
+    assert as_sets(clustering.hdbscan(x, least, samples)) == by_definition(x.tolist(), least, samples)
+
+
+def test_few_and_equal_rows():
+    assert clustering.hdbscan(np.empty((0, 2))).tolist() == []
+    assert clustering.hdbscan(np.zeros((2, 2))).tolist() == [-1, -1]
+    assert clustering.hdbscan(np.ones((9, 2))).tolist() == [-1] * 9  # one cluster of all is none
+    assert clustering.hdbscan(np.repeat([[0.0], [5.0]], 4, axis=0)).tolist() == [0] * 4 + [1] * 4
+
+
+def test_pairs_of_blocks_agree(spark, monkeypatch):
+    """Groups of several blocks, of one and of few rows, a null group, repeated vectors."""
+    groups = {"large": np.concatenate([small(s) for s in range(4)]), "middling": small(7), None: small(8)[:30], "two": small(9)[:2]}
+    rows = [(g, i, p.tolist()) for g, x in groups.items() for i, p in enumerate(x)]
+    table = spark.createDataFrame(rows, "topic string, vec_id long, embedding array<double>")
+    monkeypatch.setattr(clustering, "TILE", 40)
+    monkeypatch.setattr(clustering, "FOREST_FAN", 2)
+    found = {(r.group, r.id): r.cluster for r in clustering.cluster(table, "topic", min_cluster_size=4).collect()}
+    assert len(found) == len(rows)
+    for g, x in groups.items():
+        assert [found[g, i] for i in range(len(x))] == clustering.hdbscan(x, 4).tolist()
+
+
+def test_null_vectors_raise_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TILE", 1)
+    table = spark.createDataFrame([(1, [1.0]), (2, None)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a vector is null"):
+        clustering.cluster(table).collect()
+
+
+def test_sequential_assignment_by_definition(spark):
+    """Each vector against means taken anew of all members; what is left is clustered."""
+    draw = np.random.default_rng(5)
+    base = draw.normal(size=(4, 6)) * 3
+    seeds = [(k, base[k].tolist(), 2 + k, "s") for k in range(3)]
+    arrive = [(i, base[draw.integers(0, 4)] + draw.normal(size=6) * 0.7) for i in range(80)]
+    members = {k: [np.array(c)] * n for k, c, n, _ in seeds}
+    expected, left = {}, []
+    for i, x in arrive:
+        scores = {k: float(np.mean(m, 0) @ x / (np.linalg.norm(np.mean(m, 0)) * np.linalg.norm(x))) for k, m in members.items()}
+        k = max(scores, key=lambda k: (scores[k], -k))
+        if scores[k] >= 0.8:
+            members[k].append(x)
+            expected[i] = (k, round(scores[k], 9))
+        else:
+            left.append(i)
+    places = dict(arrive)
+    for number, group in enumerate(sorted(map(sorted, by_definition([places[i].tolist() for i in left], 3, 2)))):
+        expected |= {left[p]: (3 + number, 0.0) for p in group}
+    expected |= {i: (-1, 0.0) for i in left if i not in expected}
+    new = spark.createDataFrame([(i, x.tolist(), "s") for i, x in arrive], "id long, embedding array<double>, topic string").selectExpr("*", "timestamp_ntz'2024-01-01' as ts")
+    old = spark.createDataFrame(seeds, "cluster long, centroid array<double>, size long, topic string")
+    out = clustering.update_clusters(new, old, "topic", 0.8).collect()
+    assert left
+    assert {r.id: (r.cluster, round(r.similarity, 9)) for r in out} == expected
