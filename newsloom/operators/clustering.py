@@ -15,6 +15,9 @@ BLOCK_PAIRS = 4_000_000
 #: Rows of a block. Tables of more rows are clustered by pairs of blocks, a task each.
 TILE = 2048
 
+#: Tasks that pairs of blocks are spread over, if there are as many.
+MIN_TASKS = 200
+
 #: Forests that one task joins.
 FOREST_FAN = 16
 
@@ -173,9 +176,10 @@ def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", v
     group. The results are the same."""
     rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > TILE:
-        return _cluster_tiled(rows, sizes, largest, min_cluster_size, min_samples)
+    blocks = F.ceil(F.col("n") / TILE)
+    found = sizes.agg(F.max("n").alias("largest"), F.sum(blocks * (blocks + 1) / 2).cast("long").alias("pairs")).first()
+    if (found.largest or 0) > TILE:
+        return _cluster_tiled(rows, sizes, found.largest, found.pairs, min_cluster_size, min_samples)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -184,7 +188,7 @@ def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", v
     return rows.groupBy("group").applyInPandas(run, "group string, id long, cluster int")
 
 
-def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, min_cluster_size: int, min_samples: int) -> DataFrame:
+def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, pairs: int, min_cluster_size: int, min_samples: int) -> DataFrame:
     """cluster() of groups of any size. Rows are dealt to blocks of about TILE. Each pair of blocks gives the nearest distances
     of its rows and, once all are known, the spanning tree of its mutual reachabilities. An edge of the whole tree is in the
     tree of every part that holds it, so the trees are joined, FOREST_FAN at a time, without loss. Vectors meet by two blocks
@@ -199,6 +203,8 @@ def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, min_cluster_
         met = points.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
+    tasks = min(pairs, max(MIN_TASKS, pairs // 8))  # by pairs, which cost more than their bytes tell
+
     def nearest(tile: pd.DataFrame) -> pd.DataFrame:
         x, codes, first = _vectors(tile), tile["code"].to_numpy(), (tile["block"] == tile["i"]).to_numpy()
         within = tile["i"].iat[0] == tile["j"].iat[0]
@@ -209,7 +215,7 @@ def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, min_cluster_
             out.append(pd.DataFrame({"group": tile["group"].iat[0], "code": codes[a], "near": list(near)}))
         return pd.concat(out)
 
-    found = tiles(points).select("group", "code", "block", "i", "j", "x").groupBy("group", "i", "j").applyInPandas(nearest, "group string, code long, near array<double>")
+    found = tiles(points).select("group", "code", "block", "i", "j", "x").repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(nearest, "group string, code long, near array<double>")
     kth = F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, min_samples), -1)
     cores = found.groupBy(F.col("group").alias("__g"), F.col("code").alias("__c")).agg(kth.alias("core"))
     reached = points.join(cores, F.col("group").eqNullSafe(F.col("__g")) & (F.col("code") == F.col("__c"))).drop("__g", "__c")
@@ -226,7 +232,7 @@ def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, min_cluster_
         return pd.DataFrame({"group": tile["group"].iat[0], "t": tile["i"].iat[0] * tile["blocks"].iat[0] + tile["j"].iat[0], "w": np.array(w, float), "a": codes[list(a)], "b": codes[list(b)]})
 
     schema = "group string, t long, w double, a long, b long"
-    forests = tiles(reached).where("i < j or blocks = 1").select("group", "code", "block", "blocks", "i", "j", "x", "core").groupBy("group", "i", "j").applyInPandas(tree, schema)
+    forests = tiles(reached).where("i < j or blocks = 1").select("group", "code", "block", "blocks", "i", "j", "x", "core").repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(tree, schema)
 
     def joined(edges: pd.DataFrame) -> pd.DataFrame:
         edges = edges.sort_values(["w", "a", "b"])
