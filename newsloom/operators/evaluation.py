@@ -29,23 +29,24 @@ def _by_score(scored: DataFrame, score: str, truth: str) -> DataFrame:
 RANGES = 200
 
 
-def _running(g: DataFrame, order: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
-    """g with the sum of each column over the rows before, by ``order``. Rows are dealt to RANGES ranges of about as many rows;
-    the ranges' sums, a row each, are added up first, so no task orders more than a range."""
+def running(g: DataFrame, order: str, sums: dict[str, Column], descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """g with the sum of each column over the rows before, by ``order`` and then by ``ties``. Rows are dealt to RANGES ranges of
+    about as many rows; the ranges' sums, a row each, are added up first, so no task orders more than a range, or than the rows
+    of one value."""
     bounds = g.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
     cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
     rows = g.withColumns(sums).withColumn("__r", F.size(F.filter(cuts, lambda c: c <= F.col(order))) * (-1 if descending else 1))
     totals = rows.groupBy("__r").agg(*(F.sum(c).alias(f"t_{c}") for c in sums))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     totals = totals.select("__r", *(F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in sums))
-    within = Window.partitionBy("__r").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__r").orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(F.broadcast(totals), "__r").withColumns({c: F.col(f"t_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).drop("__r", *(f"t_{c}" for c in sums))
 
 
 def roc_auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """One row: area under the ROC curve with mid-ranks for ties; one half if a class is absent. Rows are first counted by
     score, and the distinct scores are ordered in ranges."""
-    g = _running(_by_score(scored, score, truth), "s", {"below": F.col("n") - F.col("p")})
+    g = running(_by_score(scored, score, truth), "s", {"below": F.col("n") - F.col("p")})
     u = g.withColumn("u", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     s = u.agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     pairs = F.col("p") * F.col("q")
@@ -54,11 +55,22 @@ def roc_auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> Da
 
 def average_precision(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """One row: step-wise average precision; 0 without positives."""
-    g = _running(_by_score(scored, score, truth), "s", {"tp": F.col("p"), "seen": F.col("n")}, descending=True)
+    g = running(_by_score(scored, score, truth), "s", {"tp": F.col("p"), "seen": F.col("n")}, descending=True)
     s = g.agg(F.sum(F.col("p") * (F.col("tp") + F.col("p")) / (F.col("seen") + F.col("n"))).alias("a"), F.sum("p").alias("p"))
     return s.select(F.when(F.coalesce("p", F.lit(0)) == 0, 0.0).otherwise(F.col("a") / F.when(F.col("p") != 0, F.col("p"))).alias("average_precision"))
 
 
+def median(values: DataFrame, value: str) -> DataFrame:
+    """One row: the median of the values that are not null, the mean of the middle two; null without any. Values are counted
+    first, and the distinct ones are ordered in ranges."""
+    g = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("s")).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    middle = running(g, "s", {"below": F.col("n")}).join(F.broadcast(total))  # one row
+    holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return middle.agg(((F.max(F.when(holds(low), F.col("s"))) + F.max(F.when(holds(high), F.col("s")))) / 2).alias("median"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.when(b != 0, b))
 
@@ -72,8 +84,8 @@ def confusion(scored: DataFrame, predicted: Column, truth: str = "truth") -> Dat
 
 
 def confusion_at_median(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    median = scored.agg(F.median(score).alias("__m"))
-    return confusion(scored.join(F.broadcast(median)), F.col(score) >= F.col("__m"), truth)
+    middle = median(scored, score).withColumnRenamed("median", "__m")
+    return confusion(scored.join(F.broadcast(middle)), F.col(score) >= F.col("__m"), truth)
 
 
 def purity(assigned: DataFrame, cluster: str = "cluster", truth: str = "truth") -> DataFrame:
@@ -109,7 +121,8 @@ def silhouette(vectors: DataFrame, id_: str = "vec_id", key: str = "label", vect
 def lead_times(alerts: DataFrame, peaks: DataFrame) -> DataFrame:
     """One row: number, mean and median of the positive hours from an alert (cluster_id, alert_time) to its cluster's peak."""
     h = alerts.join(peaks, "cluster_id").select(hours(F.col("peak_time"), F.col("alert_time")).alias("h")).where("h > 0")
-    return h.agg(F.count("*").alias("n"), F.coalesce(F.avg("h"), F.lit(0.0)).alias("mean_hours"), F.coalesce(F.median("h"), F.lit(0.0)).alias("median_hours"))
+    row = h.agg(F.count("*").alias("n"), F.coalesce(F.avg("h"), F.lit(0.0)).alias("mean_hours")).join(median(h, "h"))  # one row each
+    return row.select("n", "mean_hours", F.coalesce("median", F.lit(0.0)).alias("median_hours"))
 
 
 def summarize(values: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:

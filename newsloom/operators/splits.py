@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.articles import micros
+from newsloom.operators.evaluation import running
 
 DAY = 86_400_000_000
 
@@ -30,8 +31,8 @@ def time_split(rows: DataFrame, ts: str = "ts", ratios: tuple[float, float, floa
     if days == 0:
         n = rows.count()
         a, b = int(n * ratios[0]), int(n * (ratios[0] + ratios[1]))
-        place = F.row_number().over(Window.orderBy(ts, *(c for c in rows.columns if c != ts)))
-        return rows.withColumn("__p", place).withColumn("split", F.when(F.col("__p") <= a, "train").when(F.col("__p") <= b, "val").otherwise("test")).drop("__p")
+        placed = running(rows.withColumn("__t", F.coalesce(micros(F.col(ts)), F.lit(lo - 1))), "__t", {"__p": F.lit(1)}, ties=tuple(c for c in rows.columns if c != ts))
+        return placed.withColumn("split", F.when(F.col("__p") < a, "train").when(F.col("__p") < b, "val").otherwise("test")).drop("__p", "__t")
     gap = int(gap_days * DAY)
     train_end = lo + int(int(days * ratios[0]) * DAY)
     val_start = train_end + gap
