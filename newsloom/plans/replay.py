@@ -15,8 +15,7 @@ from newsloom.sources.articles import write_json
 
 def windowed(articles: DataFrame, size: str = "4h", step: str | None = None, cluster: str | None = None) -> DataFrame:
     """articles in each window that holds them: w, lo (start of the first window), the cluster within the window (-1: noise) and
-    key, which names both. ``cluster`` is a column of articles to take instead of clustering by density, which gathers one
-    window's vectors in a task."""
+    key, which names both. ``cluster`` is a column of articles to take instead of clustering by density."""
     placed = windows.assign(articles, "published_at", size, step)
     if cluster is None:
         labels = clustering.cluster(placed.select("w", "id", "embedding"), "w", "id")
