@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fim, fingerprints, language, mixing, packing, pii, quality, simhash, toxicity, urls
+from newsloom.llm import chat, fim, fingerprints, language, mixing, packing, pii, quality, simhash, spelling, toxicity, urls
 from newsloom.llm.common import table
 
 
@@ -83,6 +83,16 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+#: One run in so many loses a code point before the words of op13_spelling are counted.
+TYPO_EVERY = 31
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them with a code point missing, grouped with their most frequent near word."""
+    marked = spelling.marked_runs(table(spark, sf_dir, "documents"), TYPO_EVERY)
+    return spelling.variants(spelling.vocabulary(marked))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
     "op12_fim": op12_fim,
+    "op13_spelling": op13_spelling,
 }
 
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,4 +140,22 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM parts""",
+    "op13_spelling": r"""
+WITH RECURSIVE found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM found WHERE length(run) >= 7),
+bits AS (SELECT run, flatten(list_transform(range(0, length(x) // 2), lambda k: [CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b FROM runs),
+signs AS (SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, y: xor(xor(c, y) // 2, (xor(c, y) % 2) * 3988292384))) AS h FROM bits),
+marked AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM signs),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM marked WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+spots AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM spots),
+less AS (SELECT DISTINCT cut.word AS a, words.word AS b FROM cut JOIN words ON cut.rest = words.word),
+pairs AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT a, b FROM less UNION ALL SELECT b, a FROM less),
+ranked AS (SELECT a, b, n AS b_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM pairs JOIN words ON b = word),
+named AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n
+  FROM words LEFT JOIN ranked ON a = word AND k = 1),
+chains AS (SELECT word, word AS here, 0 AS step FROM named UNION ALL SELECT c.word, m.form, c.step + 1 FROM chains c JOIN named m ON c.here = m.word WHERE m.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, step) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN roots USING (word)""",
 }
