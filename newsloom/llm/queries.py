@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fim, fingerprints, language, mixing, packing, pii, quality, simhash, spelling, toxicity, urls
+from newsloom.llm import chat, fim, fingerprints, language, mixing, neighbours, packing, pii, quality, simhash, spelling, toxicity, urls
 from newsloom.llm.common import table
 
 
@@ -77,6 +77,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: One vector in so many asks for its neighbours in op11_neighbours.
+ASK_EVERY = 20
+
+
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id ASK_EVERY divides."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % ASK_EVERY == 0))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged for fill-in-middle, and the text rebuilt from the output alone."""
     made = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -104,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
+    "op11_neighbours": op11_neighbours,
     "op12_fim": op12_fim,
     "op13_spelling": op13_spelling,
 }
@@ -128,6 +139,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('### ' || role || ': ' || hidden || ' </turn>') + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id""",
+    "op11_neighbours": """
+WITH good AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+asked AS (SELECT vec_id AS query_id, min(x) AS q FROM good WHERE vec_id % 20 = 0 GROUP BY vec_id),
+scored AS (SELECT query_id, vec_id, list_inner_product(q, x) AS score FROM asked JOIN good ON query_id <> vec_id AND len(q) = len(x)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op12_fim": """
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
 sized AS (SELECT *, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n FROM cut),
