@@ -58,9 +58,28 @@ def counts(signals: DataFrame) -> DataFrame:
 
 def review(signals: DataFrame, reviews: DataFrame) -> DataFrame:
     """signals with the latest review of each: reviewed, false_positive if any review gave it, notes if not empty."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct("at", "ord")))
-    merged = reviews.groupBy("signal_id").agg(F.max_by("reviewed", F.struct("at", "ord")).alias("reviewed"), last("false_positive").alias("false_positive"), last("notes").alias("analyst_notes"))
-    return signals.join(merged, "signal_id", "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
+    return with_reviews(signals, review_state(reviews))
+
+
+def review_state(reviews: DataFrame) -> DataFrame:
+    """(signal_id, at, ord, reviewed, false_positive, notes) events -> a row for each signal: the latest of each field that an
+    event gave, and when (at, ord); null notes and verdicts, and empty notes, give nothing."""
+    given = {"reviewed": F.lit(True), "false_positive": F.col("false_positive").isNotNull(), "notes": F.length("notes") > 0}
+    order = {c: F.when(g, F.struct("at", "ord")) for c, g in given.items()}
+    return reviews.groupBy("signal_id").agg(*(x for c, o in order.items() for x in (F.max_by(c, o).alias(c), F.max(o).alias(f"{c}_at"))))
+
+
+def merged_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two review_state() tables as one: the later of each field. In any order and however often the same events are merged,
+    the result is that of all events at once."""
+    both = old.unionByName(new)
+    return both.groupBy("signal_id").agg(*(x for c in ("reviewed", "false_positive", "notes") for x in (F.max_by(c, f"{c}_at").alias(c), F.max(f"{c}_at").alias(f"{c}_at"))))
+
+
+def with_reviews(signals: DataFrame, state: DataFrame) -> DataFrame:
+    """signals with reviewed (false without a review), false_positive and analyst_notes of a review_state() table."""
+    fields = state.select("signal_id", "reviewed", "false_positive", F.col("notes").alias("analyst_notes"))
+    return signals.join(fields, "signal_id", "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
 
 
 def severity_rank(severity):  # noqa: ANN001, ANN201

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.schema import BIAS, OUTLET_TYPES, PATTERN_STRENGTH, RAW_ARTICLE, WIRE_SOURCES
+from newsloom.operators import signals
+from newsloom.schema import BIAS, FEEDBACK, OUTLET_TYPES, PATTERN_STRENGTH, RAW_ARTICLE, WIRE_SOURCES
+from newsloom.sources.store import Store
 
 
 def read_raw(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -76,28 +78,32 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_feedback(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_feedback(df: DataFrame, path: str, txn: tuple[str, int] | None = None) -> None:
+    """Add feedback to the store at ``path``; readers see all of it or nothing. A transaction (writer, number) counts once."""
+    columns = {f.name: F.col(f.name).cast(f.dataType) for f in FEEDBACK}
+    Store(df.sparkSession, path).append("feedback", df.select(*(c.alias(n) for n, c in columns.items())), txn)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """The feedback store; an absent one is empty."""
-    from pyspark.errors import AnalysisException
+    kept = Store(spark, path).read("feedback")
+    return spark.createDataFrame([], FEEDBACK) if kept is None else kept
 
-    from newsloom.schema import FEEDBACK
 
-    try:
-        return spark.read.schema(FEEDBACK).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], FEEDBACK)
+def clear_feedback(spark: SparkSession, path: str) -> None:
+    """Empty the feedback store, in one step: what was read before stays readable until the store is vacuumed."""
+    Store(spark, path).truncate("feedback")
 
 
-def clear_feedback(spark: SparkSession, path: str) -> None:
-    from newsloom.schema import FEEDBACK
+def record_reviews(reviews: DataFrame, path: str, txn: tuple[str, int] | None = None) -> None:
+    """Merge review events (signal_id, at, ord, reviewed, false_positive, notes) into the store at ``path``, which keeps a row for each
+    signal. Only the buckets of the reviewed signals are rewritten; events that come twice change nothing."""
+    Store(reviews.sparkSession, path).merge("reviews", signals.review_state(reviews), ["signal_id"], signals.merged_reviews, txn=txn)
+
 
-    spark.createDataFrame([], FEEDBACK).write.mode("overwrite").parquet(path)
+def add_clusters(table: DataFrame, path: str, txn: tuple[str, int] | None = None) -> None:
+    """Add clusters to the store at ``path``; they are read by Store.read("clusters") and cleared by Store.truncate("clusters")."""
+    Store(table.sparkSession, path).append("clusters", table, txn)
 
 
 def pick(values: tuple, i: Column) -> Column:
