@@ -26,7 +26,8 @@ TRANSITIONS = (
 )
 
 
-def _fire(rows: DataFrame, key: list[str], rules: tuple) -> DataFrame:
+def fire(rows: DataFrame, key: list[str], rules: tuple) -> DataFrame:
+    """(key, signal_type, severity): a row for each rule that a row meets."""
     found = F.array(*(F.when(F.expr(c), F.struct(F.lit(t).alias("signal_type"), F.expr(s).alias("severity"))) for t, c, s in rules))
     return rows.select(*key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(*key, "x.signal_type", "x.severity")
 
@@ -35,7 +36,7 @@ def detect(metrics: DataFrame, articles: DataFrame, coherences: DataFrame, key:
     """(key, signal_type, severity, signal_id); ids depend on the cluster and the type alone."""
     first = articles.groupBy(key).agg(F.min_by(is_wire_origin(F.col("wire_source")), F.struct("published_at", "id")).alias("first_is_wire"))
     rows = metrics.join(first, key).join(coherences, key, "left")
-    fired = _fire(rows, [key], RULES)
+    fired = fire(rows, [key], RULES)
     return fired.withColumn("signal_id", F.concat_ws("_", F.lit("sig"), "signal_type", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "signal_type"), 256), 1, 8)))
 
 
@@ -47,7 +48,7 @@ def transitions(windows: DataFrame, key: str = "topic", order: str = "w") -> Dat
     own = Window.partitionBy(key).orderBy("n")
     next_to = F.lag("n").over(own) == F.col("n") - 1
     rows = rows.withColumns({"p_velocity": F.when(next_to, F.lag("velocity").over(own)), "p_order": F.when(next_to, F.lag("stage_order").over(own)), "seen_before": F.lag("n").over(own).isNotNull()})
-    return _fire(rows, [order, key], TRANSITIONS)
+    return fire(rows, [order, key], TRANSITIONS)
 
 
 def counts(signals: DataFrame) -> DataFrame:
