@@ -89,8 +89,13 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def remember(measures: DataFrame, path: str) -> None:
-    """Append measures with their seq and time to the history."""
-    measures.selectExpr(*(f"CAST({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in MEASURES.split(", "))).write.mode("append").parquet(path)
+    """Append measures with their seq and time to the history. streaming.monitoring keeps HISTORY of them on disk and no more."""
+    shaped(measures).write.mode("append").parquet(path)
+
+
+def shaped(measures: DataFrame) -> DataFrame:
+    """The columns of MEASURES alone, in their types."""
+    return measures.selectExpr(*(f"CAST({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in MEASURES.split(", ")))
 
 
 def recent(measures: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
