@@ -365,10 +365,15 @@ _REVIEWS_CTE = "reviews AS (SELECT 's' || (event_id % 50) AS signal_id, ts AS mo
 @query("signal_review_merge", f"""WITH {_REVIEWS_CTE}, s AS (SELECT DISTINCT 's' || (event_id % 60) AS signal_id FROM events) SELECT s.signal_id, coalesce(arg_max(reviewed, row(moment, ord)), false) AS reviewed,
   arg_max(false_positive, row(moment, ord)) FILTER (false_positive IS NOT NULL) AS false_positive, arg_max(notes, row(moment, ord)) FILTER (notes <> '') AS analyst_notes FROM s LEFT JOIN reviews USING (signal_id) GROUP BY s.signal_id""")
 def signal_review_merge(spark, sf_dir):  # noqa: ANN001, ANN201
+    return signals.review(*review_rows(spark, sf_dir))
+
+
+def review_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(signals, reviews), both from the events."""
     e = F.col("event_id")
     events = _read(spark, sf_dir, "events")
     reviews = events.select(F.concat(F.lit("s"), (e % 50).cast("string")).alias("signal_id"), F.col("ts").alias("at"), e.alias("ord"), (e % 3 != 0).alias("reviewed"), F.when(e % 4 == 0, e % 8 == 0).alias("false_positive"), F.when(e % 5 == 0, F.concat(F.lit("note "), e.cast("string"))).otherwise("").alias("notes"))
-    return signals.review(events.select(F.concat(F.lit("s"), (e % 60).cast("string")).alias("signal_id")).distinct(), reviews)
+    return events.select(F.concat(F.lit("s"), (e % 60).cast("string")).alias("signal_id")).distinct(), reviews
 
 
 def _transition_sql() -> str:

@@ -10,10 +10,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.catalog import _COHERENCE_CTE, _FIRED_CTE, _FLAGS, _PR, ALERTS_CTE, CELLS_CTE, METRICS_CTE, ORACLES, SIGNALS_CTE, H, _read, _rounded, _signals, alert_rows, cluster_signals, query, scored_rows
+from newsloom.catalog import _COHERENCE_CTE, _FIRED_CTE, _FLAGS, _PR, ALERTS_CTE, CELLS_CTE, METRICS_CTE, ORACLES, SIGNALS_CTE, H, _read, _rounded, _signals, alert_rows, cluster_signals, query, review_rows, scored_rows
 from newsloom.operators import evaluation, generation, lookups, monitor, splits
+from newsloom.operators.signals import with_reviews
 from newsloom.plans import batch, replay
-from newsloom.sources.articles import ARTICLES_SQL, from_tables
+from newsloom.sources.articles import ARTICLES_SQL, from_tables, record_reviews
+from newsloom.sources.scratch import folder
+from newsloom.sources.store import Store
+from newsloom.streaming import narratives
+from newsloom.streaming.windows import table_stream
 
 # --- lookups ---------------------------------------------------------------------------------------------------------
 
@@ -113,6 +118,37 @@ def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.details(placed, replay.found(placed), "6h")
 
 
+@query("stream_transitions", ORACLES["stage_transitions"])
+def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of stage_transitions, from a stream over the events: a row without a topic, two windows after the last event,
+    closes the last window."""
+    topic, outlet = F.concat("event_type", (F.col("user_id") % 40).cast("string")), F.col("user_id") % 7
+    events = _read(spark, sf_dir, "events")
+    span = events.agg(*(F.unix_micros(f(F.col("ts").cast("timestamp"))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi")))).first()
+    out = folder(spark, "stream-transitions")
+    if span.lo is None:
+        return narratives.resolved(spark.createDataFrame([], narratives.COLUMNS), None)
+    end = spark.range(1).select(F.timestamp_micros(F.lit(span.hi + 2 * 24 * H)).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("user_id"))
+    end.write.parquet(f"{out}/end")
+    streams = [table_stream(spark, f"{sf_dir}/events.parquet", events.select("ts", "event_type", "user_id").schema), table_stream(spark, f"{out}/end", end.schema)]
+    rows = [x.select(F.col("ts").cast("timestamp").alias("ts"), topic.alias("topic"), outlet.cast("long").alias("outlet")) for x in streams]
+    query = narratives.follow(rows[0].unionByName(rows[1]), f"{out}/store", f"{out}/state", size="1d", start_us=span.lo)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return Store(spark, f"{out}/store").read("transitions")
+
+
+@query("signal_review_store", ORACLES["signal_review_merge"])
+def signal_review_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signal_review_merge from a store into which the reviews were merged in two parts, the later one first and twice."""
+    signals_, reviews = review_rows(spark, sf_dir)
+    at = folder(spark, "reviews")
+    for part in (F.col("ord") % 2 == 1, F.col("ord") % 2 == 0, F.col("ord") % 2 == 1):
+        record_reviews(reviews.where(part), at)
+    return with_reviews(signals_, Store(spark, at).read("reviews"))
+
+
 # --- the monitor -----------------------------------------------------------------------------------------------------
 
 _OLD, _NEW = "id % 3 <> 0", "id % 3 = 0"  # what is past and what arrives; together they are the whole table

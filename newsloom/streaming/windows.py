@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from newsloom.functions.time_windows import parse_window
 
@@ -22,3 +23,14 @@ def append(counted: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write windows once they are final, as Parquet; what has arrived is processed and the query ends. A restart goes on from
     the checkpoint, which executors and driver must share."""
     return counted.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, ``files`` of its files in a batch at most. A table that is one file is read by its name in the
+    folder above, as file streams take folders only."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).isFile(jvm_path)
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.option("pathGlobFilter", jvm_path.getName()).parquet(str(jvm_path.getParent())) if single else reader.parquet(path)
