@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import discard, stash
@@ -117,8 +117,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
     Two fingerprints within the radius agree on one of radius + 1 bands of bits, so only fingerprints that share a band
     are compared, and all of those are. Fingerprints of a band value form one unit up to ``tile`` of them. A larger one is
-    dealt by population count and hash to tiles of about that size, and each pair of tiles whose population counts differ
-    by the radius at most is a unit of its own: no task ever holds more than two tiles. A unit returns stars, not pairs.
+    laid out by population count and cut into tiles of about that size, and each pair of tiles whose population counts come within
+    the radius is a unit of its own: no task ever holds more than two tiles. A unit returns stars, not pairs.
     """
     bands = radius + 1
     cut = [round(i * BITS / bands) for i in range(bands + 1)]
@@ -128,18 +128,20 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     pops = banded.groupBy("band", "key", "ones").agg(F.count("*").alias("m"))
     sized = banded.join(sizes, ["band", "key"])
     small = sized.where(F.col("n") <= tile).select(F.xxhash64("band", "key").alias("unit"), F.lit(0).alias("side"), "fp")
-    # tiles of large band values: (ones, part); a pair of them is named by both
+    # a large band value is laid out by population count, then by hash, and cut into tiles
     large = sizes.where(F.col("n") > tile)
-    tiles = pops.join(large.select("band", "key"), ["band", "key"]).select("band", "key", "ones", F.ceil(F.col("m") / tile).cast("int").alias("parts"))
-    each = tiles.select("band", "key", "ones", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own = each.select("band", "key", *(F.col(c).alias(f"{c}_a") for c in ("ones", "part", "parts")))
-    other = each.select("band", "key", *(F.col(c).alias(f"{c}_b") for c in ("ones", "part", "parts")))
-    near = (F.col("ones_b") - F.col("ones_a")).between(0, radius) & ((F.col("ones_a") < F.col("ones_b")) | (F.col("part_a") <= F.col("part_b")))
-    pairs = own.join(other, ["band", "key"]).where(near).withColumn("unit", F.xxhash64("band", "key", "ones_a", "part_a", "ones_b", "part_b"))
-    alone = (F.col("ones_a") == F.col("ones_b")) & (F.col("part_a") == F.col("part_b"))
-    ends = pairs.select("band", "key", "unit", F.inline(F.when(alone, F.array(F.struct(F.lit(0).alias("side"), F.col("ones_a").alias("ones"), F.col("part_a").alias("part")))).otherwise(F.array(F.struct(F.lit(1).alias("side"), F.col("ones_a").alias("ones"), F.col("part_a").alias("part")), F.struct(F.lit(2).alias("side"), F.col("ones_b").alias("ones"), F.col("part_b").alias("part"))))))
-    parted = banded.join(tiles, ["band", "key", "ones"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiled = parted.join(ends, ["band", "key", "ones", "part"]).select("unit", "side", "fp")
+    start = F.sum("m").over(Window.partitionBy("band", "key").orderBy("ones")) - F.col("m")  # over 65 counts at most
+    laid = pops.join(large.select("band", "key"), ["band", "key"]).withColumn("start", start)
+    spans = laid.select("band", "key", "ones", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("m") - 1) / tile))).alias("t"))
+    tiles = spans.groupBy("band", "key", "t").agg(F.min("ones").alias("low"), F.max("ones").alias("high"))
+    own = tiles.select("band", "key", F.col("t").alias("t_a"), F.col("high").alias("high_a"))
+    other = tiles.select("band", "key", F.col("t").alias("t_b"), F.col("low").alias("low_b"))
+    pairs = own.join(other, ["band", "key"]).where((F.col("t_a") <= F.col("t_b")) & (F.col("low_b") - F.col("high_a") <= radius))
+    # a tile compared with itself has side 0; else the two have sides 1 and 2
+    end = lambda side, t: F.struct(F.lit(side).alias("side"), F.col(t).alias("t"))
+    ends = pairs.select("band", "key", F.xxhash64("band", "key", "t_a", "t_b").alias("unit"), F.inline(F.when(F.col("t_a") == F.col("t_b"), F.array(end(0, "t_a"))).otherwise(F.array(end(1, "t_a"), end(2, "t_b")))))
+    parted = banded.join(laid, ["band", "key", "ones"]).withColumn("t", F.floor((F.col("start") + F.pmod(F.xxhash64("fp"), F.col("m"))) / tile))
+    tiled = parted.join(ends, ["band", "key", "t"]).select("unit", "side", "fp")
     units = small.unionByName(tiled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
