@@ -65,9 +65,9 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir).withColumn("reviewed", F.col("cluster_id") % 3 == 0)
 
 
-@query("signals_filtered", f"WITH {_SIGNAL_CTE} SELECT signal_id, cluster_id, signal_type, severity, reviewed FROM sig WHERE severity = 'medium' AND signal_type = 'cross_spectrum' AND NOT reviewed")
+@query("signals_filtered", f"WITH {_SIGNAL_CTE} SELECT signal_id, cluster_id, signal_type, severity, reviewed FROM sig WHERE severity = 'high' AND signal_type = 'cross_spectrum' AND NOT reviewed")
 def signals_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.find_signals(_reviewed(spark, sf_dir), "medium", "cross_spectrum", False).select("signal_id", "cluster_id", "signal_type", "severity", "reviewed")
+    return lookups.find_signals(_reviewed(spark, sf_dir), "high", "cross_spectrum", False).select("signal_id", "cluster_id", "signal_type", "severity", "reviewed")
 
 
 @query("signal_with_cluster", f"WITH {_SIGNAL_CTE} SELECT signal_id, s.cluster_id, signal_type, severity, reviewed, topic AS cluster_topic, size AS cluster_size, stage AS cluster_stage FROM sig s LEFT JOIN tab ON tab.cluster_id = s.cluster_id")
@@ -223,15 +223,18 @@ def cluster_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.stance(_posts(spark, sf_dir), counting).select("cluster_id", "stance", F.col("emotions")["anger"].alias("anger"))
 
 
-@query("classifier_evaluation", f"SELECT * FROM ({ORACLES['confusion_at_median'].replace('score >= m', 'score >= 0.5e0').replace('score < m', 'score < 0.5e0')}), ({ORACLES['roc_auc']}), ({ORACLES['average_precision']})")
+_AT_K = f"(SELECT {', '.join(f'max(CASE WHEN k = {k} THEN {c} END) AS {c}_at_{k}' for k in (5, 10, 20, 50) for c in ('precision', 'recall'))} FROM ({ORACLES['precision_recall_at_k']}))"
+
+
+@query("classifier_evaluation", f"SELECT * FROM ({ORACLES['confusion_at_median'].replace('score >= m', 'score >= 0.5e0').replace('score < m', 'score < 0.5e0')}), ({ORACLES['roc_auc']}), ({ORACLES['average_precision']}), {_AT_K}")
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.evaluate_classifier(scored_rows(spark, sf_dir), F.col("score") >= 0.5))
+    return _rounded(evaluation.evaluate_classifier(scored_rows(spark, sf_dir), F.col("score") >= 0.5, ties=(F.col("doc_id"),)))
 
 
-@query("alert_evaluation", f"""SELECT * EXCLUDE (accuracy, n), n AS leads FROM ({ORACLES['confusion_at_median']}), ({ORACLES['roc_auc']}), ({ORACLES['average_precision']}), ({ORACLES['lead_time']}), (SELECT count(*) AS items FROM documents JOIN labels USING (doc_id))""")
+@query("alert_evaluation", f"""SELECT * EXCLUDE (accuracy, n), n AS leads FROM ({ORACLES['confusion_at_median']}), ({ORACLES['roc_auc']}), ({ORACLES['average_precision']}), ({ORACLES['lead_time']}), (SELECT count(*) AS items FROM documents JOIN labels USING (doc_id)), {_AT_K}""")
 def alert_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = _read(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy((F.col("user_id") % 97).alias("cluster_id")).agg(F.max("ts").alias("peak_time"))
-    return _rounded(evaluation.evaluate_alerts(scored_rows(spark, sf_dir), alert_rows(spark, sf_dir), peaks))
+    return _rounded(evaluation.evaluate_alerts(scored_rows(spark, sf_dir), alert_rows(spark, sf_dir), peaks, order=(F.desc("score"), F.col("doc_id"))))
 
 
 @query("clustering_evaluation", f"""SELECT * FROM (SELECT count(DISTINCT label) AS n_clusters FROM embeddings), ({ORACLES['silhouette_cosine']}),
@@ -245,11 +248,11 @@ def time_split_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.durations(_read(spark, sf_dir, "events").select("event_id", "ts"))
 
 
-@query("walk_forward_clusters", f"""WITH c AS (SELECT user_id % 97 + 97 * (event_id % 7) AS cluster_id, min(ts) AS s, max(ts) AS e FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT min(epoch_us(s)) AS lo, arg_max(epoch_us(e), epoch_us(s)) AS hi FROM c),
+@query("walk_forward_clusters", f"""WITH c AS (SELECT user_id * 400 + dayofyear(ts) AS cluster_id, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1), b AS (SELECT min(epoch_us(s)) AS lo, arg_max(epoch_us(e), epoch_us(s)) AS hi FROM c),
   f AS (SELECT i AS fold, lo + (10 + 3 * i) * {24 * H} AS te, lo + (11 + 3 * i) * {24 * H} AS ss, lo + (15 + 3 * i) * {24 * H} AS se FROM b, range(100) t(i) WHERE lo + (15 + 3 * i) * {24 * H} <= hi),
   r AS (SELECT fold, CASE WHEN epoch_us(e) < te THEN 'train' WHEN epoch_us(s) >= ss AND epoch_us(s) < se THEN 'test' END AS role FROM f, c), g AS (SELECT fold, role, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY ALL)
   SELECT CAST(fold AS INTEGER) AS fold, role, n FROM g WHERE fold IN (SELECT fold FROM g GROUP BY fold HAVING count(*) = 2)""")
 def walk_forward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").where("event_type = 'click'")
-    c = e.groupBy((F.col("user_id") % 97 + 97 * (F.col("event_id") % 7)).alias("cluster_id")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
+    e = _read(spark, sf_dir, "events")
+    c = e.groupBy((F.col("user_id") * 400 + F.dayofyear("ts")).alias("cluster_id")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
     return splits.walk_forward(c, "s", initial=10, test=4, step=3, end="e").groupBy("fold", "role").agg(F.count("*").alias("n"))

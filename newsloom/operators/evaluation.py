@@ -21,6 +21,15 @@ def at_k(ranked: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50), truth: str =
     return both.select("k", (F.col("hits") / F.col("k")).alias("precision"), F.when(F.col("positives") == 0, 0.0).otherwise(F.col("hits") / F.when(F.col("positives") != 0, F.col("positives"))).alias("recall"))
 
 
+KS = (5, 10, 20, 50)
+
+
+def at_k_row(ranked: DataFrame, truth: str, order: tuple) -> DataFrame:
+    """at_k() as one row: precision_at_5, recall_at_5 and so on, null for a k beyond the items."""
+    found = at_k(ranked, KS, truth, order)
+    return found.agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_at_{k}") for k in KS for c in ("precision", "recall")))
+
+
 def _by_score(scored: DataFrame, score: str, truth: str) -> DataFrame:
     return scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(truth)).alias("p"))
 
@@ -130,21 +139,24 @@ def summarize(values: DataFrame, key: str = "metric", value: str = "value") -> D
     return values.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count("*").alias("n"))
 
 
-def evaluate_classifier(scored: DataFrame, predicted: Column, score: str = "score", truth: str = "truth") -> DataFrame:
-    """One row: confusion(), roc_auc (one half if a class is absent) and average_precision (0 if a class is absent)."""
+def evaluate_classifier(scored: DataFrame, predicted: Column, score: str = "score", truth: str = "truth", ties: tuple = ()) -> DataFrame:
+    """One row: confusion(), roc_auc (one half if a class is absent), average_precision (0 if a class is absent), and at_k_row() by score;
+    ``ties`` orders equal scores."""
     both = F.broadcast(scored.agg((F.count_if(F.col(truth)) * F.count_if(~F.col(truth)) > 0).alias("__both")))
     row = confusion(scored, predicted, truth).join(roc_auc(scored, score, truth)).join(average_precision(scored, score, truth)).join(both)  # one row each
+    row = row.join(at_k_row(scored, truth, (F.desc(score), *ties)))
     return row.withColumn("average_precision", F.when(F.col("__both"), F.col("average_precision")).otherwise(0.0)).drop("__both")
 
 
-def evaluate_alerts(scored: DataFrame, alerts: DataFrame, peaks: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """One row: number of items, tp, fp, fn, tn, precision, recall and f1 of scores from the median up, roc_auc (one half if a class
+def evaluate_alerts(scored: DataFrame, alerts: DataFrame, peaks: DataFrame, score: str = "score", truth: str = "truth", order: tuple = ()) -> DataFrame:
+    """One row: at_k_row() by ``order`` (by score without one), number of items, tp, fp, fn, tn, precision, recall and f1 of scores from the median up, roc_auc (one half if a class
     is absent), average_precision (the base rate if one is), and the lead times of alerts before peaks."""
     t = F.col(truth)
     rates = F.broadcast(scored.agg(F.count("*").alias("items"), F.coalesce(F.avg(t.cast("double")), F.lit(0.0)).alias("__rate")))
     row = confusion_at_median(scored, score, truth).drop("accuracy").join(roc_auc(scored, score, truth)).join(average_precision(scored, score, truth)).join(rates)  # one row each
     some = (F.col("__rate") > 0) & (F.col("__rate") < 1)
     row = row.withColumn("average_precision", F.when(some, F.col("average_precision")).otherwise(F.col("__rate"))).drop("__rate")
+    row = row.join(at_k_row(scored, truth, order or (F.desc(score),)))
     return row.join(lead_times(alerts, peaks).withColumnRenamed("n", "leads"))
 
 

@@ -44,8 +44,9 @@ def run(articles: DataFrame, out: str) -> dict[str, int]:
     spark = articles.sparkSession
     assigned(articles).select("id", "cluster_id").write.mode("overwrite").parquet(f"{out}/members")
     members = articles.drop("cluster_id").join(spark.read.parquet(f"{out}/members"), "id")
-    write_json(clusters(members), f"{out}/clusters")
-    write_json(records(clusters(members), members), f"{out}/signals")
+    table = clusters(members)
+    write_json(table, f"{out}/clusters")
+    write_json(records(spark.read.schema(table.schema).json(f"{out}/clusters"), members), f"{out}/signals")
     count = spark.read.parquet(f"{out}/members").agg(F.count("*").alias("total_articles"), F.count_if(F.col("cluster_id") < 0).alias("noise_articles"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("total_clusters"))
     fired = spark.read.schema("severity string").json(f"{out}/signals").agg(F.count("*").alias("total_signals"), F.count_if(F.col("severity").isin("high", "critical")).alias("urgent_signals"))
     summary = count.join(fired)  # one row each

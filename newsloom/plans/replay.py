@@ -51,7 +51,7 @@ def run(articles: DataFrame, out: str, size: str = "4h", step: str | None = None
     windowed(articles, size, step).drop("embedding").write.mode("overwrite").parquet(f"{out}/members")
     members = spark.read.parquet(f"{out}/members")
     vectors_ = articles.select("id", "embedding")
-    found(members.join(vectors_, "id")).write.mode("overwrite").partitionBy("w").json(f"{out}/signals")
+    found(members.join(vectors_, "id")).repartition("w").write.mode("overwrite").partitionBy("w").json(f"{out}/signals")
     fired = spark.read.schema("name string, signal_type string, severity string, w long").json(f"{out}/signals")
     write_json(details(members, fired, size, step), f"{out}/windows")
     told = spark.read.schema("articles long, clusters long, signals long").json(f"{out}/windows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def load(spark: SparkSession, path: str, limit: int | None = None, strict: bool
     return validate(read_raw(spark, path, limit), strict)[0]
 
 
+def stream(spark: SparkSession, path: str, files: int = 1, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) of a folder of CSV files as streams, ``files`` new files in a batch at most; row by row what load() and
+    validate() give. ``ord`` is null: a stream has no order of reading. The folder must be there."""
+    reader = spark.readStream.schema(RAW_ARTICLE).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    return validate(reader.option("maxFilesPerTrigger", files).csv(path).withColumn("ord", F.lit(None).cast("long")), strict)
+
+
+#: The setting that names the default data set, and where it lies without one.
+DEFAULT_SETTING, DEFAULT_PATH = "spark.newsloom.articles", "data/articles.csv"
+
+
+def load_default(spark: SparkSession) -> DataFrame:
+    """Valid articles of the data set that DEFAULT_SETTING names; AnalysisException if it isn't there."""
+    return load(spark, spark.conf.get(DEFAULT_SETTING, DEFAULT_PATH))
+
+
 def chunks(spark: SparkSession, path: str, size: int = 100) -> DataFrame:
     """Valid articles with the number of their chunk of ``size`` rows in reading order. Rows are numbered within the part of
     the scan they came from and moved on by the counts of the parts before, a row each."""
@@ -78,6 +96,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_report(tables: dict[str, DataFrame], folder: str, name: str) -> str:
+    """Write tables as JSON lines, each into a folder of its name, and publish them together as ``folder``/``name`` by one
+    rename. A write that fails leaves nothing; a report of that name that is there already raises an error and stays."""
+    spark = next(iter(tables.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    draft, final = at(f"{folder}/.{name}-{uuid.uuid4().hex}"), at(f"{folder}/{name}")
+    fs = final.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        for table, df in tables.items():
+            df.write.json(f"{draft.toString()}/{table}")
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise FileExistsError(f"{folder}/{name} is there already")
+    finally:
+        fs.delete(draft, True)
+    return final.toString()
+
+
 def append_feedback(df: DataFrame, path: str, txn: tuple[str, int] | None = None) -> None:
     """Add feedback to the store at ``path``; readers see all of it or nothing. A transaction (writer, number) counts once."""
     columns = {f.name: F.col(f.name).cast(f.dataType) for f in FEEDBACK}

@@ -3,11 +3,14 @@
 import json
 from collections import Counter
 
+import pytest
+
 from newsloom.operators import labeling
 from newsloom.plans import batch
 from newsloom.sources import articles
 from newsloom.streaming import windows
 from oracle import SMALL
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -96,3 +99,41 @@ def test_labels_by_hand(spark):
     for i, g in enumerate(given):
         assert (out[i].label, out[i].fired) == (g[7], g[9])
         assert abs(out[i].confidence - g[8]) < 1e-9
+
+
+def test_a_stream_of_csv_files_agrees_with_the_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate((CSV, CSV.replace("\n5,B", "\n6,B"), CSV.splitlines()[0] + "\n")):
+        (tmp_path / "in" / f"{i}.csv").write_text(part)
+    good, bad = articles.stream(spark, str(tmp_path / "in"))
+    for name, df in (("good", good), ("bad", bad)):
+        query = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == 2  # one file a batch
+    want = articles.validate(articles.read_raw(spark, str(tmp_path / "in")))
+    for name, whole in zip(("good", "bad"), want, strict=True):
+        rows = lambda df: sorted(map(repr, df.drop("ord").collect()))
+        assert rows(spark.read.parquet(str(tmp_path / name))) == rows(whole) and whole.count() > 0
+
+
+def test_the_default_data_set(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CSV)
+    spark.conf.set(articles.DEFAULT_SETTING, str(tmp_path / "a.csv"))
+    try:
+        assert articles.load_default(spark).count() == 2
+        spark.conf.set(articles.DEFAULT_SETTING, str(tmp_path / "b.csv"))
+        with pytest.raises(AnalysisException):
+            articles.load_default(spark)
+    finally:
+        spark.conf.unset(articles.DEFAULT_SETTING)
+
+
+def test_a_report_is_published_whole_or_not_at_all(spark, tmp_path):
+    good = {"summary": spark.range(1), "signals": spark.range(3)}
+    articles.write_report(good, str(tmp_path), "run1")
+    assert spark.read.json(str(tmp_path / "run1" / "signals")).count() == 3
+    with pytest.raises(Exception, match="lost"):
+        articles.write_report(good | {"bad": spark.range(1).selectExpr("raise_error('lost') as x")}, str(tmp_path), "run2")
+    with pytest.raises(FileExistsError):
+        articles.write_report(good, str(tmp_path), "run1")
+    assert [p.name for p in tmp_path.iterdir()] == ["run1"]
