@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import _COHERENCE_CTE, _FIRED_CTE, _FLAGS, _PR, ALERTS_CTE, CELLS_CTE, METRICS_CTE, ORACLES, SIGNALS_CTE, H, _read, _rounded, _signals, alert_rows, cluster_signals, query, review_rows, scored_rows
-from newsloom.operators import evaluation, generation, lookups, monitor, splits
+from newsloom.operators import classifier, evaluation, generation, index, lookups, monitor, splits
 from newsloom.operators.signals import with_reviews
 from newsloom.plans import batch, replay
 from newsloom.sources.articles import ARTICLES_SQL, from_tables, record_reviews
@@ -253,6 +253,34 @@ def time_split_days(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT fold, CASE WHEN epoch_us(e) < te THEN 'train' WHEN epoch_us(s) >= ss AND epoch_us(s) < se THEN 'test' END AS role FROM f, c), g AS (SELECT fold, role, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY ALL)
   SELECT CAST(fold AS INTEGER) AS fold, role, n FROM g WHERE fold IN (SELECT fold FROM g GROUP BY fold HAVING count(*) = 2)""")
 def walk_forward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
-    c = e.groupBy((F.col("user_id") * 400 + F.dayofyear("ts")).alias("cluster_id")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
+    c = _intervals(spark, sf_dir)
     return splits.walk_forward(c, "s", initial=10, test=4, step=3, end="e").groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
+_INTERVALS_SQL = "c AS (SELECT user_id * 400 + dayofyear(ts) AS cluster_id, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1)"
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters with their first and last time: a user's events of a day."""
+    return _read(spark, sf_dir, "events").groupBy((F.col("user_id") * 400 + F.dayofyear("ts")).alias("cluster_id")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
+
+
+@query("cluster_time_split", f"""WITH {_INTERVALS_SQL}, b AS (SELECT min(epoch_us(s)) AS lo, arg_max(epoch_us(e), epoch_us(s)) AS hi FROM c), d AS (SELECT lo, (hi - lo) // {24 * H} AS days FROM b),
+  x AS (SELECT lo + CAST(floor(days * 0.6e0) AS BIGINT) * {24 * H} AS te, lo + (CAST(floor(days * 0.6e0) AS BIGINT) + 1) * {24 * H} AS vs, lo + (CAST(floor(days * 0.6e0) AS BIGINT) + 1 + CAST(floor(days * 0.2e0) AS BIGINT)) * {24 * H} AS ve FROM d),
+  r AS (SELECT cluster_id, CASE WHEN epoch_us(e) < te THEN 'train' WHEN epoch_us(s) >= vs AND epoch_us(s) < ve THEN 'val' WHEN epoch_us(s) >= ve + {24 * H} THEN 'test' END AS split FROM c, x) SELECT cluster_id, split FROM r WHERE split IS NOT NULL""")
+def cluster_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.time_split(_intervals(spark, sf_dir), "s", end="e").select("cluster_id", "split")
+
+
+@query("classifier_features", f"WITH {SIGNALS_CTE} SELECT cluster_id, {', '.join(f'round(CAST({sql.replace("coalesce(has_body_ratio, 0.5e0)", "0.5e0")} AS DOUBLE), 6) AS f_{name}' for name, sql in classifier.FEATURES)} FROM signals")
+def classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(classifier.features(cluster_signals(spark, sf_dir)))
+
+
+@query("index_topk", ORACLES["cosine_topk"])
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cosine_topk from an inverted file over all embeddings, all of whose lists are probed."""
+    v = _read(spark, sf_dir, "embeddings")
+    at, asked = folder(spark, "index"), v.where("vec_id = 7").first()
+    index.build(v, at)
+    return _rounded(index.search(spark, at, asked.embedding if asked else [], 20, None))

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: (feature, SQL over cluster signals)
@@ -75,9 +75,10 @@ def importance(model: tuple[PipelineModel, dict[str, tuple[float, float]]], top:
 
 
 def holdout(rows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """rows with test: about ``share`` of each class, by hash."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "cluster_id"))
-    return rows.withColumn("test", F.percent_rank().over(order) < share)
+    """rows with test: about ``share`` of each class, those of least hash up to a quantile, so no task orders a class."""
+    h = F.xxhash64(F.lit(seed), "cluster_id")
+    cut = rows.groupBy("label").agg(F.percentile_approx(h, share, 10_000).alias("__cut"))  # a row for each class
+    return rows.join(F.broadcast(cut), "label").select(*rows.columns, (h <= F.col("__cut")).alias("test"))
 
 
 #: A model is calibrated only on more rows than this.
@@ -124,3 +125,16 @@ def save(model: tuple[PipelineModel, dict[str, tuple[float, float]]], path: str,
 
 def load(path: str, spark) -> tuple[PipelineModel, dict[str, tuple[float, float]]]:  # noqa: ANN001
     return PipelineModel.load(f"{path}/model"), {r.name: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scale").collect()}
+
+
+def save_calibrated(model: Calibrated, path: str, spark=None) -> None:  # noqa: ANN001
+    """save() with the calibration beside it; a model without one has no such folder."""
+    save(model[0], path, spark)
+    if model[1] is not None:
+        model[1].write().overwrite().save(f"{path}/calibration")
+
+
+def load_calibrated(path: str, spark) -> Calibrated:  # noqa: ANN001
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/calibration")
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return load(path, spark), IsotonicRegressionModel.load(f"{path}/calibration") if there else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.articles import bias_numeric, has_frame, hours, is_pr_origin, is_wire_origin
+from newsloom.operators.windows import places
 
 
 def stage(outlets: Column, diversity: Column, duration: Column) -> Column:
@@ -70,8 +71,7 @@ def keyword_counts(articles: DataFrame, key: str = "cluster_id", top: int = 10)
 
 def timeline(articles: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Articles with their place in time within the cluster."""
-    order = Window.partitionBy(key).orderBy("published_at", "id")
-    return articles.select(key, F.row_number().over(order).alias("place"), "id", "published_at", "outlet", "title")
+    return places(articles.select(key, "id", "published_at", "outlet", "title"), key, "published_at", ("id",)).select(key, "place", "id", "published_at", "outlet", "title")
 
 
 def dataset_stats(articles: DataFrame) -> DataFrame:

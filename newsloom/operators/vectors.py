@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -94,11 +95,54 @@ def cosine_to(vector: Column, length: Column, x: Column) -> Column:
 
 def similar_clusters(vectors: DataFrame, key: str = "label", threshold: float = 0.8, vector: str = "embedding") -> DataFrame:
     """(a, b, similarity): pairs of clusters whose centroids are at least so similar. Each centroid is held against blocks of
-    centroids; only pairs that reach the threshold become rows."""
+    centroids; only pairs that reach the threshold become rows. More than CENTERS_AT_ONCE centroids go to similar_pairs(), which
+    compares fewer and finds the same."""
     c = as_arrays(centroids(vectors, key, vector), key)
+    shape = shape_of(vectors, key, vector)
+    if shape[0] > CENTERS_AT_ONCE and threshold > 0:
+        return similar_pairs(c, key, threshold)
     similar = lambda length: lambda x: F.struct(x["k"].alias("b"), cosine_to(F.col("centroid"), length, x).alias("similarity"))
     take = lambda centers: let(norm(F.col("centroid")), lambda n: F.filter(F.transform(F.filter(centers, lambda x: x["k"] > F.col(key)), similar(n)), lambda x: x["similarity"] >= threshold))
-    return against(c, c, key, take, shape_of(vectors, key, vector)).select(F.col(key).alias("a"), F.explode("taken").alias("x")).select("a", "x.b", "x.similarity")
+    return against(c, c, key, take, shape).select(F.col(key).alias("a"), F.explode("taken").alias("x")).select("a", "x.b", "x.similarity")
+
+
+#: Pivots of similar_pairs() at most.
+PIVOTS = 256
+
+
+def near_candidates(centers: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, u, v): the pairs (key, centroid) that the triangle inequality cannot tell to be less similar than ``threshold``, over 0.
+
+    The angle is a metric on directions. Each centroid belongs to the nearest of at most PIVOTS of them, drawn by hash. Two within the
+    angle of the threshold differ by no more than it in their angles to any pivot, so the second lies within the first's
+    group's radius and that angle of the group's pivot; it is held against these groups alone. A pair meets once, in the group of its
+    lesser key. Zero centroids are similar to none.
+    """
+    within = math.acos(min(1.0, threshold)) + 1e-7  # for rounding: the similarity itself decides
+    some = centers.select(F.col(key).alias("k"), F.col("centroid").alias("c")).where(F.exists("c", lambda x: x != 0))
+    n = some.count()
+    drawn = some.orderBy(F.xxhash64("c"), "k").limit(min(PIVOTS, max(1, math.isqrt(n)))).collect()
+    pivots = np.array([r.c for r in drawn] or [[1.0]], float)  # without rows any pivot does
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True).clip(1e-300)
+
+    @F.pandas_udf("array<double>")
+    def angles(cs: pd.Series) -> pd.Series:
+        x = np.stack(cs.to_numpy())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return pd.Series(list(np.arccos(np.clip(x @ pivots.T, -1, 1))))
+
+    told = some.withColumn("g", angles("c")).withColumn("near", F.array_min("g")).withColumn("home", F.array_position("g", F.col("near")).cast("int") - 1)
+    radius = dict(told.groupBy("home").agg(F.max("near").alias("r")).collect())  # a row for each pivot
+    reach = F.array(*(F.lit(radius.get(i, -math.inf) + within) for i in range(len(pivots))))
+    groups = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.col("g")[i] <= reach[i])
+    guests = told.select(F.col("k").alias("b"), F.col("c").alias("v"), "g", F.explode(groups).alias("home")).select("b", "v", "home", F.col("g")[F.col("home")].alias("angle"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("near") - F.col("angle")) <= within)
+    return told.select(F.col("k").alias("a"), F.col("c").alias("u"), "home", "near").join(guests, "home").where(near).select("a", "b", "u", "v")
+
+
+def similar_pairs(centers: DataFrame, key: str = "label", threshold: float = 0.8) -> DataFrame:
+    """(a, b, similarity): the pairs of (key, centroid) whose cosine reaches ``threshold``, over 0; exact, see near_candidates()."""
+    return near_candidates(centers, key, threshold).select("a", "b", cosine(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def nearest_centroid(vectors: DataFrame, centers: DataFrame, id_: str = "vec_id", key: str = "label", threshold: float = 0.85, vector: str = "embedding") -> DataFrame:

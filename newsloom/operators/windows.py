@@ -88,7 +88,27 @@ def sliding_members(rows: DataFrame, ts: str = "ts", id_: str = "event_id", size
     return marked.join(last).select("id", F.inline(both)).select("w", "id", "state")
 
 
+#: Ranges of time in which rows are numbered side by side.
+RANGES = 200
+
+
+def places(rows: DataFrame, key: str, ts: str, ties: tuple[str, ...], out: str = "place") -> DataFrame:
+    """rows with the place of each by time among those of its key, from 1. All rows are dealt to RANGES ranges of time, each key's
+    rows are counted by range, and a row's place is its place within key and range after what comes before. So no task orders more of a
+    key than a range holds, or than rows of one time."""
+    t = micros(F.col(ts))
+    bounds = rows.agg(F.percentile_approx(t, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>")
+    dealt = rows.withColumn("__r", F.when(F.col(ts).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= t))))
+    counted = dealt.groupBy(F.col(key).alias("__k"), F.col("__r").alias("__q")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__k").orderBy("__q")) - F.col("__n")  # a row for each range of a key
+    after = counted.select("__k", "__q", before.alias("__before"))
+    here = F.row_number().over(Window.partitionBy(key, "__r").orderBy(ts, *ties))
+    joined = dealt.withColumn("__here", here).join(after, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__r") == F.col("__q")))
+    return joined.withColumn(out, (F.col("__before") + F.col("__here")).cast("int")).drop("__r", "__k", "__q", "__before", "__here")
+
+
 def by_topic(rows: DataFrame, topic: str = "event_type", ts: str = "ts", id_: str = "event_id") -> DataFrame:
     """(topic, place, id, ts): each topic's rows by time; empty and null topics are ``unknown``."""
     named = F.coalesce(F.nullif(F.col(topic), F.lit("")), F.lit("unknown"))
-    return rows.select(named.alias("topic"), F.row_number().over(Window.partitionBy(named).orderBy(ts, id_)).alias("place"), F.col(id_).alias("id"), F.col(ts).alias("ts"))
+    return places(rows.select(named.alias("topic"), F.col(id_).alias("id"), F.col(ts).alias("ts")), "topic", "ts", ("id",)).select("topic", "place", "id", "ts")
