@@ -1,7 +1,7 @@
 """Labelling of clusters by a text generator that the caller injects: excerpts, prompts, answers and what is read from them.
 
 The generator is any function from a prompt to a text; it is sent to the tasks, once for each row, and may be called again for a
-row whose task is repeated. Prompts and answers are read with DataFrame functions; only the calls and strict JSON need Python.
+row whose task is repeated. memory.Remembered keeps its answers, so that no stored prompt is asked again. Prompts and answers are read with DataFrame functions; only the calls and strict JSON need Python.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.articles import keyword_label
+from newsloom.operators.memory import Remembered, prompt_key
 
 Generate = Callable[[str], str]
 
@@ -59,7 +60,12 @@ def json_object(text: str | None) -> str | None:
 
 
 def answers(prompts: DataFrame, generate: Generate, key: str = "cluster_id") -> DataFrame:
-    """(key, response, body) of prompts (key, prompt): what the generator said and the JSON object in it, null without one."""
+    """(key, response, body) of prompts (key, prompt): what the generator said and the JSON object in it, null without one. A
+    Remembered generator answers from its store, and is asked only what is not there."""
+    if isinstance(generate, Remembered):
+        keyed = prompts.select(key, prompt_key(F.col("prompt")).alias("prompt_key"))
+        said = keyed.join(generate.ask(prompts.select("prompt")), "prompt_key", "left")
+        return said.select(key, "response", F.udf(json_object)("response").alias("body"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,13 +130,13 @@ def names(posts: DataFrame, generate: Generate, key: str = "cluster_id") -> Data
     """(key, name) of excerpts() with keywords: the answer without blanks and quotes around it if it has 6 to 99 code points,
     else what keyword_label() makes of the keywords. A generator that fails gives the same as no answer."""
 
-    def safe(prompt: str) -> str | None:
+    def safe(prompt: str) -> str | None:  # a Remembered generator keeps its failures itself
         try:
             return generate(prompt)
         except Exception:  # noqa: BLE001  a name is never worth a failed job
             return None
 
-    said = answers(posts.select(key, _about(ASK_NAME, F.col("posts")).alias("prompt")), safe, key)
+    said = answers(posts.select(key, _about(ASK_NAME, F.col("posts")).alias("prompt")), generate if isinstance(generate, Remembered) else safe, key)
     short = _stripped(_stripped(_stripped(F.col("response"), r"\s"), '"'), r"\s")
     kept = F.when(F.length(short).between(6, 99), short)
     return posts.select(key, "keywords").join(said.select(key, kept.alias("__name")), key, "left").select(key, F.coalesce("__name", keyword_label(F.col("keywords"))).alias("name"))
