@@ -107,7 +107,8 @@ def in_sequence(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
         wanted = wanted.select(pick([heads[following[b]] for b in order], "bigint").alias("__id"), pick(order, "int").alias("to"))
         first = Window.partitionBy("to").orderBy("text")
         ghosts = dealt.join(F.broadcast(wanted), "__id").withColumn("rank", F.row_number().over(first)).where("rank = 1").withColumn("b", F.col("to")).select(*dealt.columns).withColumn("ghost", F.lit(True))
-    rows = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    # ranges of buckets, as hashes of so few would put several into one task; what is grouped by b needs no further shuffle
+    rows = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartitionByRange(n // BUCKETS, "b")
     return rows, F.col("b"), [F.col("ghost"), F.col("__id").desc(), F.col("text")]
 
 
