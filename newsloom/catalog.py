@@ -468,8 +468,8 @@ def label_agreement(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 _OPEN_CTE = f"{FEEDBACK_CTE}, {ALERTS_CTE}, open AS (SELECT *, coalesce(confidence, 0.5e0) AS model_confidence, 1 - abs(coalesce(confidence, 0.5e0) - 0.5e0) * 2 AS uncertainty_score FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM feedback))"
-_PICKED = "alert_id, round(model_confidence, 6) AS model_confidence, round(uncertainty_score, 6) AS uncertainty_score, selection_reason"
-_DIVERSE = "SELECT alert_id, model_confidence, uncertainty_score, 'diversity_' || severity AS selection_reason FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY ord) AS turn FROM {src} WHERE severity <> 'info') ORDER BY turn, array_position(['critical','high','medium','low'], severity) LIMIT {n}"
+_PICKED = "alert_id, cluster_id, round(model_confidence, 6) AS model_confidence, round(uncertainty_score, 6) AS uncertainty_score, selection_reason"
+_DIVERSE = "SELECT alert_id, cluster_id, model_confidence, uncertainty_score, 'diversity_' || severity AS selection_reason FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY ord) AS turn FROM {src} WHERE severity <> 'info') ORDER BY turn, array_position(['critical','high','medium','low'], severity) LIMIT {n}"
 
 
 def _sampled(strategy: str) -> Query:
@@ -483,7 +483,7 @@ def _sampled(strategy: str) -> Query:
 query("sample_uncertainty", f"WITH {_OPEN_CTE} SELECT {_PICKED} FROM (SELECT *, 'high_uncertainty' AS selection_reason FROM open ORDER BY uncertainty_score DESC, ord LIMIT 25)")(_sampled("uncertainty"))
 query("sample_diversity", f"WITH {_OPEN_CTE} SELECT {_PICKED} FROM ({_DIVERSE.format(src='open', n=25)})")(_sampled("diversity"))
 query("sample_mixed", f"""WITH {_OPEN_CTE}, u AS (SELECT *, 'high_uncertainty' AS selection_reason FROM open ORDER BY uncertainty_score DESC, ord LIMIT 12), rest AS (SELECT * FROM open WHERE alert_id NOT IN (SELECT alert_id FROM u)),
-  d AS ({_DIVERSE.format(src='rest', n=13)}) SELECT {_PICKED} FROM (SELECT alert_id, model_confidence, uncertainty_score, selection_reason FROM u UNION ALL SELECT * FROM d)""")(_sampled("mixed"))
+  d AS ({_DIVERSE.format(src='rest', n=13)}) SELECT {_PICKED} FROM (SELECT alert_id, cluster_id, model_confidence, uncertainty_score, selection_reason FROM u UNION ALL SELECT * FROM d)""")(_sampled("mixed"))
 
 
 # --- splits ----------------------------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.evaluation import confusion, roc_auc
+
 #: (feature, SQL over cluster signals)
 FEATURES = (
     ("coordination_ratio", "coordination_ratio"), ("duplicate_burst_score", "duplicate_burst_score"), ("duplicate_groups", "duplicate_groups"), ("max_duplicate_group_size", "max_duplicate_group_size"),
@@ -106,6 +108,15 @@ def predict_calibrated(model: Calibrated, rows: DataFrame) -> DataFrame:
     return out.select("cluster_id", "probability", (F.col("probability") >= 0.5).cast("int").alias("prediction"))
 
 
+def training_metrics(model: Calibrated, rows: DataFrame) -> DataFrame:
+    """One row about a model on all rows (cluster_id, label, features) that it was fitted with: accuracy, precision, recall, f1, auc (one
+    half if a class is absent), n_samples, n_positive, n_negative."""
+    told = predict_calibrated(model, rows).join(rows.select("cluster_id", (F.col("label") == 1).alias("truth")), "cluster_id")
+    counts = told.agg(F.count("*").alias("n_samples"), F.count_if("truth").alias("n_positive"), F.count_if(~F.col("truth")).alias("n_negative"))
+    judged = confusion(told, F.col("prediction") == 1).select("accuracy", "precision", "recall", "f1")
+    return judged.join(roc_auc(told, "probability").withColumnRenamed("roc_auc", "auc")).join(counts)  # one row each
+
+
 def from_weak_labels(labelled: DataFrame, least: float = 0.5) -> DataFrame:
     """Training rows of weak labels: unknown and unsure ones go, organic is 0, others 1, weighted by confidence; fewer than
     ten rows raise."""

@@ -50,8 +50,8 @@ def uncertainty(confidence: Column) -> Column:
 
 
 def sample_uncertain(alerts: DataFrame, n: int) -> DataFrame:
-    """The n alerts (alert_id, severity, confidence, ord) whose model confidence is nearest to one half."""
-    rows = alerts.select("alert_id", F.coalesce("confidence", F.lit(0.5)).alias("model_confidence"), uncertainty(F.col("confidence")).alias("uncertainty_score"), F.lit("high_uncertainty").alias("selection_reason"), "ord")
+    """The n alerts (alert_id, cluster_id, severity, confidence, ord) whose model confidence is nearest to one half."""
+    rows = alerts.select("alert_id", "cluster_id", F.coalesce("confidence", F.lit(0.5)).alias("model_confidence"), uncertainty(F.col("confidence")).alias("uncertainty_score"), F.lit("high_uncertainty").alias("selection_reason"), "ord")
     return rows.orderBy(F.desc("uncertainty_score"), "ord").limit(n)
 
 
@@ -61,7 +61,7 @@ def sample_diverse(alerts: DataFrame, n: int) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("severity").orderBy("ord"))
     rows = alerts.where(F.col("severity").isin(*ROUND_ROBIN)).withColumn("turn", turn).where(F.col("turn") <= n)
     rows = rows.orderBy("turn", rank).limit(n)
-    return rows.select("alert_id", F.coalesce("confidence", F.lit(0.5)).alias("model_confidence"), uncertainty(F.col("confidence")).alias("uncertainty_score"), F.concat(F.lit("diversity_"), "severity").alias("selection_reason"), "ord")
+    return rows.select("alert_id", "cluster_id", F.coalesce("confidence", F.lit(0.5)).alias("model_confidence"), uncertainty(F.col("confidence")).alias("uncertainty_score"), F.concat(F.lit("diversity_"), "severity").alias("selection_reason"), "ord")
 
 
 def sample_mixed(alerts: DataFrame, n: int) -> DataFrame:

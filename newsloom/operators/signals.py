@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.articles import is_wire_origin, stage_order
 from newsloom.schema import SEVERITIES
+from newsloom.settings import Settings
+
+def rules(s: Settings) -> tuple[tuple[str, str, str], ...]:
+    """(type, condition, severity) in SQL over cluster metrics; the missing detector's rules are our own design."""
+    return (
+        ("rapid_emergence", f"stage in ('nascent', 'emerging') and velocity >= {s.velocity_spreading}e0", f"case when velocity >= {s.velocity_high}e0 then 'high' else 'medium' end"),
+        ("cross_spectrum", f"bias_spread >= {s.bias_spread}e0 and size >= 2", f"case when unique_outlets >= {s.outlets_high} then 'high' else 'medium' end"),
+        ("wire_cascade", "first_is_wire and unique_outlets >= 3", "'low'"),
+        ("pr_amplification", "pr_origin_ratio > 0 and unique_outlets >= 3", f"case when source_diversity >= {s.diversity} then 'high' else 'medium' end"),
+        ("frame_convergence", f"has_convergent and not has_coordinated and coherence >= {s.coherence_loose}e0", "'low'"),
+        ("synchronized", f"has_coordinated and coherence >= {s.coherence_tight}e0", f"case when unique_outlets >= {s.outlets_high} or source_diversity >= {s.diversity_high} then 'critical' else 'high' end"),
+    )
+
 
-#: (type, condition, severity) in SQL over cluster metrics; the missing detector's rules are our own design.
-RULES = (
-    ("rapid_emergence", "stage in ('nascent', 'emerging') and velocity >= 2", "case when velocity >= 5 then 'high' else 'medium' end"),
-    ("cross_spectrum", "bias_spread >= 0.7e0 and size >= 2", "case when unique_outlets >= 10 then 'high' else 'medium' end"),
-    ("wire_cascade", "first_is_wire and unique_outlets >= 3", "'low'"),
-    ("pr_amplification", "pr_origin_ratio > 0 and unique_outlets >= 3", "case when source_diversity >= 3 then 'high' else 'medium' end"),
-    ("frame_convergence", "has_convergent and not has_coordinated and coherence >= 0.7e0", "'low'"),
-    ("synchronized", "has_coordinated and coherence >= 0.85e0", "case when unique_outlets >= 10 or source_diversity >= 4 then 'critical' else 'high' end"),
-)
 #: The same over rows with what the narrative was in the window before (p_ columns, null without one).
 TRANSITIONS = (
     ("velocity_spike", "p_velocity is not null and velocity >= 3 * p_velocity", "'medium'"),
@@ -36,7 +40,7 @@ def detect(metrics: DataFrame, articles: DataFrame, coherences: DataFrame, key:
     """(key, signal_type, severity, signal_id); ids depend on the cluster and the type alone."""
     first = articles.groupBy(key).agg(F.min_by(is_wire_origin(F.col("wire_source")), F.struct("published_at", "id")).alias("first_is_wire"))
     rows = metrics.join(first, key).join(coherences, key, "left")
-    fired = fire(rows, [key], RULES)
+    fired = fire(rows, [key], rules(Settings.of(metrics.sparkSession)))
     return fired.withColumn("signal_id", F.concat_ws("_", F.lit("sig"), "signal_type", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "signal_type"), 256), 1, 8)))
 
 

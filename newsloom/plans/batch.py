@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators import clustering, metrics, signals, vectors
+from newsloom.settings import Settings
 from newsloom.sources.articles import write_json
 
 
@@ -42,7 +43,8 @@ def run(articles: DataFrame, out: str) -> dict[str, int]:
     """Cluster articles, detect signals, and write ``out``/members, clusters, signals and summary. Each is written once and read
     again by the next; only the summary's five numbers reach the driver."""
     spark = articles.sparkSession
-    assigned(articles).select("id", "cluster_id").write.mode("overwrite").parquet(f"{out}/members")
+    settings = Settings.of(spark)
+    assigned(articles, settings.min_cluster_size, settings.min_samples).select("id", "cluster_id").write.mode("overwrite").parquet(f"{out}/members")
     members = articles.drop("cluster_id").join(spark.read.parquet(f"{out}/members"), "id")
     table = clusters(members)
     write_json(table, f"{out}/clusters")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import signals
 from newsloom.schema import BIAS, FEEDBACK, OUTLET_TYPES, PATTERN_STRENGTH, RAW_ARTICLE, WIRE_SOURCES
+from newsloom.settings import Settings
 from newsloom.sources.store import Store
 
 
@@ -71,13 +72,9 @@ def stream(spark: SparkSession, path: str, files: int = 1, strict: bool = False)
     return validate(reader.option("maxFilesPerTrigger", files).csv(path).withColumn("ord", F.lit(None).cast("long")), strict)
 
 
-#: The setting that names the default data set, and where it lies without one.
-DEFAULT_SETTING, DEFAULT_PATH = "spark.newsloom.articles", "data/articles.csv"
-
-
 def load_default(spark: SparkSession) -> DataFrame:
-    """Valid articles of the data set that DEFAULT_SETTING names; AnalysisException if it isn't there."""
-    return load(spark, spark.conf.get(DEFAULT_SETTING, DEFAULT_PATH))
+    """Valid articles of the session's data set, spark.newsloom.articles; AnalysisException if it isn't there."""
+    return load(spark, Settings.of(spark).articles)
 
 
 def chunks(spark: SparkSession, path: str, size: int = 100) -> DataFrame:

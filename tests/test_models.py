@@ -35,6 +35,15 @@ def test_a_model_is_kept(spark, rows, tmp_path, kind):
     assert len(classifier.importance(model[0])) == 14
 
 
+def test_metrics_on_all_rows(rows):
+    model = classifier.fit_calibrated(rows, "logistic")
+    r = classifier.training_metrics(model, rows).first()
+    told_ = told(classifier.predict_calibrated(model, rows))
+    right = [told_[x.cluster_id][1] == x.label for x in rows.collect()]
+    assert abs(r.accuracy - np.mean(right)) < 1e-9 and 0.8 < r.auc <= 1
+    assert r.n_samples == 120 == r.n_positive + r.n_negative
+
+
 def test_unknown_kinds_raise(rows):
     with pytest.raises(ValueError, match="no such kind"):
         classifier.fit(rows, "oracle")

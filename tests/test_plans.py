@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 
-from newsloom.operators import labeling
+from newsloom.operators import labeling, signals
 from newsloom.plans import batch
+from newsloom.settings import Settings
 from newsloom.sources import articles
 from newsloom.streaming import windows
 from oracle import SMALL
@@ -118,14 +119,14 @@ def test_a_stream_of_csv_files_agrees_with_the_batch(spark, tmp_path):
 
 def test_the_default_data_set(spark, tmp_path):
     (tmp_path / "a.csv").write_text(CSV)
-    spark.conf.set(articles.DEFAULT_SETTING, str(tmp_path / "a.csv"))
+    spark.conf.set("spark.newsloom.articles", str(tmp_path / "a.csv"))
     try:
         assert articles.load_default(spark).count() == 2
-        spark.conf.set(articles.DEFAULT_SETTING, str(tmp_path / "b.csv"))
+        spark.conf.set("spark.newsloom.articles", str(tmp_path / "b.csv"))
         with pytest.raises(AnalysisException):
             articles.load_default(spark)
     finally:
-        spark.conf.unset(articles.DEFAULT_SETTING)
+        spark.conf.unset("spark.newsloom.articles")
 
 
 def test_a_report_is_published_whole_or_not_at_all(spark, tmp_path):
@@ -137,3 +138,20 @@ def test_a_report_is_published_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(FileExistsError):
         articles.write_report(good, str(tmp_path), "run1")
     assert [p.name for p in tmp_path.iterdir()] == ["run1"]
+
+
+def test_settings_of_a_session(spark):
+    assert Settings.of(spark) == Settings()
+    changed = {"bias_spread": "0.9", "min_samples": "5", "time_window": "1d", "unknown": "x"}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(f"spark.newsloom.{name}", value)
+        s = Settings.of(spark)
+        assert (s.bias_spread, s.min_samples, s.time_window) == (0.9, 5, "1d")
+        assert "bias_spread >= 0.9e0" in signals.rules(s)[1][1]
+        spark.conf.set("spark.newsloom.min_samples", "many")
+        with pytest.raises(ValueError, match="many"):
+            Settings.of(spark)
+    finally:
+        for name in changed:
+            spark.conf.unset(f"spark.newsloom.{name}")
