@@ -13,10 +13,12 @@ from newsloom.llm.common import table
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and how like they are."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules, and the weakly supervised verdict."""
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
@@ -26,6 +28,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by a lexicon learned from labels that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -39,16 +42,19 @@ def tokenizer_text(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of at most 4096."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_text())
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by cross-parsing with automata of languages learned from rows that are not held out."""
     documents = table(spark, sf_dir, "documents")
     model = language.fit(documents.where(~language.held_out(F.col("doc_id"))))
     return language.identify(documents.select("doc_id", "text"), model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the base spans, and those that the trees add."""
     return pii.report(table(spark, sf_dir, "documents"), pii.fit(spark))
 
 
@@ -57,10 +63,12 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's URL."""
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -69,11 +77,13 @@ HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
     return chat.digests(chat.conversations(chat.chain(table(spark, sf_dir, "conversations"), hard)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and the least id that links reach."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
