@@ -85,7 +85,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can express neither the fingerprints nor the learned models; tests hold each stage against a plain version in Python.
+#: SQL can express neither the fingerprints nor the learned models. Tests hold near_duplicates against all pairs in plain Python, and the
+#: other stages against what their operators decide, which have brute-force tests and measured accuracies of their own.
 ORACLE_SQL: str | None = None
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}
 ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
