@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import signals
 from newsloom.schema import BIAS, FEEDBACK, OUTLET_TYPES, PATTERN_STRENGTH, RAW_ARTICLE, WIRE_SOURCES
 from newsloom.settings import Settings
+from newsloom.sources import ranges
 from newsloom.sources.store import Store
 
 
@@ -60,9 +61,17 @@ def validate(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame
     return good, judged.where("reason is not null")
 
 
-def load(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False) -> DataFrame:
-    """Valid articles of a CSV; a path that isn't there raises AnalysisException."""
-    return validate(read_raw(spark, path, limit), strict)[0]
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """What read_raw gives, of files too large for a task each: they are read by byte ranges, as ``sources.ranges`` says. Two
+    passes over the files come first, so small ones are better read by read_raw."""
+    return ranges.read(spark, path, RAW_ARTICLE)
+
+
+def load(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False, by_ranges: bool = False) -> DataFrame:
+    """Valid articles of a CSV, whose files are read by byte ranges or each by one task; a path that isn't there raises
+    AnalysisException. A limit reads the first rows, each file by one task."""
+    raw = read_ranges(spark, path) if by_ranges and not limit else read_raw(spark, path, limit)
+    return validate(raw, strict)[0]
 
 
 def stream(spark: SparkSession, path: str, files: int = 1, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -77,10 +86,10 @@ def load_default(spark: SparkSession) -> DataFrame:
     return load(spark, Settings.of(spark).articles)
 
 
-def chunks(spark: SparkSession, path: str, size: int = 100) -> DataFrame:
+def chunks(spark: SparkSession, path: str, size: int = 100, by_ranges: bool = False) -> DataFrame:
     """Valid articles with the number of their chunk of ``size`` rows in reading order. Rows are numbered within the part of
     the scan they came from and moved on by the counts of the parts before, a row each."""
-    rows = load(spark, path).withColumn("__part", F.shiftright("ord", 33))
+    rows = load(spark, path, by_ranges=by_ranges).withColumn("__part", F.shiftright("ord", 33))
     counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")  # a row for each part of the scan
     place = F.row_number().over(Window.partitionBy("__part").orderBy("ord")) - 1
