@@ -6,8 +6,6 @@ row whose task is repeated. memory.Remembered keeps its answers, so that no stor
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,18 +43,19 @@ def excerpts(docs: DataFrame, key: str = "cluster_id", text: str = "text", order
     return lines.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["__line"]), "\n").alias("posts"))
 
 
-def json_object(text: str | None) -> str | None:
-    """The JSON object from the first { to the last } of a text, else the whole text if that is one; else null. Strict: what
-    follows an object makes it invalid."""
-    block = re.search(r"\{.*\}", text or "", re.DOTALL)
-    for candidate in (block and block.group(), (text or "").strip()):
-        try:
-            found = json.loads(candidate) if candidate else None
-        except ValueError:
-            continue
-        if isinstance(found, dict):
-            return json.dumps(found)
-    return None
+def json_object(text: Column) -> Column:
+    """The JSON object from the first { to the last } of a text, as it stands there, if all of that is one object; else null.
+    Strict: what follows an object makes it invalid. What is an object is what Python's reader takes for one: a name may come twice,
+    numbers may be NaN, Infinity and -Infinity; but nothing may be nested deeper than 1,000 times.
+
+    Spark's reader stops where an array ends, so the object is read in an array before a seal, its own hash: only a text that
+    was read to its end leaves the seal in the second place."""
+    block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    seal = F.sha2(block.cast("binary"), 256)
+    read = F.from_json(F.concat(F.lit("["), block, F.lit(', "'), seal, F.lit('"]')), "array<string>", {"allowSingleQuotes": "false"})
+    outside = F.regexp_replace(block, r'"(?:[^"\\]++|\\.)*+"', "")  # without its strings
+    whole = (F.size(read) == 2) & (F.get(read, F.lit(1)) == seal) & F.get(read, F.lit(0)).startswith("{")
+    return F.when((block != "") & whole & ~outside.rlike(r"INF|\+I"), block)
 
 
 def answers(prompts: DataFrame, generate: Generate, key: str = "cluster_id") -> DataFrame:
@@ -65,15 +64,15 @@ def answers(prompts: DataFrame, generate: Generate, key: str = "cluster_id") ->
     if isinstance(generate, Remembered):
         keyed = prompts.select(key, prompt_key(F.col("prompt")).alias("prompt_key"))
         said = keyed.join(generate.ask(prompts.select("prompt")), "prompt_key", "left")
-        return said.select(key, "response", F.udf(json_object)("response").alias("body"))
+        return said.select(key, "response", json_object(F.col("response")).alias("body"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             said = [generate(p) for p in batch["prompt"]]
-            yield pd.DataFrame({key: batch[key], "response": said, "body": [json_object(s) for s in said]})
+            yield pd.DataFrame({key: batch[key], "response": said})
 
-    fields = [T.StructField("response", T.StringType()), T.StructField("body", T.StringType())]
-    return prompts.select(key, "prompt").mapInPandas(ask, T.StructType([prompts.schema[key], *fields]))
+    said = prompts.select(key, "prompt").mapInPandas(ask, T.StructType([prompts.schema[key], T.StructField("response", T.StringType())]))
+    return said.select(key, "response", json_object(F.col("response")).alias("body"))
 
 
 def _about(question: str, *parts: Column) -> Column:

@@ -1,10 +1,13 @@
 """Labelling by an injected generator, against values worked out by hand."""
 
 import json
+import random
+import re
 
 import pytest
 
 from newsloom.operators import generation
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -29,11 +32,46 @@ def test_excerpts(docs):
     ("text", "found"),
     [('{"a": 1}', {"a": 1}), ('so: {"a": {"b": 2}} end', {"a": {"b": 2}}), ('{"a": 1} x {"b": 2}', None), ("[1]", None), ("", None), (None, None), ("no", None), (' {"a":\n1} ', {"a": 1}), ("{a}", None)],
 )
-def test_json_object(text, found):
-    got = generation.json_object(text)
+def test_json_object(spark, text, found):
+    got = spark.createDataFrame([(text,)], "t string").select(generation.json_object(F.col("t"))).first()[0]
     assert (json.loads(got) if got else None) == found
 
 
+def as_python_reads(text):
+    block = re.search(r"\{.*\}", text, re.DOTALL)
+    try:
+        return block and isinstance(json.loads(block.group()), dict) and block.group() or None
+    except ValueError:
+        return None
+
+
+def test_json_object_is_what_python_takes_for_one(spark):
+    draw = random.Random(5)
+    seeds = ['{"a": [1, 2.50, -3e+5, true, null], "b": {"c": "x \\" y \\u00e9 \\\\", "d": []}, "e": "{}[],:"}', '{"stance": "mixed", "emotions": {"anger": 0.5, "fear": -0}, "n": NaN, "m": -Infinity}', "{}"]
+    parts = [*'{}[],:"\\ \t\n0123456789.-+eE', "NaN", "Infinity", "INF", "+INF", "true", "nul", "'", "/**/", '"a": 1, ', "é", "\u2028", "\x01", "\ufeff", " }", "{ ", "]}"]
+    texts = ['{"a": 1, "a": 2}', '{"a": -INF}', '{"a": "INF +I"}', '{"a": 1}]}', '{"a": 1}, "x"}', '{"a": 1e400}', '{"a": "' + "\\\\" * 50_000 + '"}', "{'a': 1}", '{"a": 01}']
+    for _ in range(3000):
+        text = draw.choice(seeds)
+        for _ in range(draw.randint(1, 3)):
+            i = draw.randint(0, len(text))
+            text = text[:i] + draw.choice(("", draw.choice(parts))) + text[i + draw.randint(0, 2) :]
+        texts.append(text)
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(generation.json_object(F.col("t"))).collect()]
+    want = list(map(as_python_reads, texts))
+    assert [(t, g) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    assert 300 < sum(w is not None for w in want) < 2700
+
+
+def test_a_name_that_comes_twice_counts_as_python_counts_it(spark):
+    posts = spark.createDataFrame([(1, "x")], "cluster_id int, posts string")
+    assert generation.stance(posts, lambda p: '{"stance": "mixed", "stance": "neutral", "emotions": {"joy": 1, "joy": 0.5}}').first()[1:3] == ("neutral", {"joy": 0.5})
+
+
+def test_only_the_generator_needs_a_python_worker(spark):
+    said = spark.createDataFrame([("x",)], "response string").select(generation.json_object(F.col("response")))
+    assert "Python" not in said._jdf.queryExecution().executedPlan().toString()
+
+
 def test_claims_and_stance(spark):
     posts = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "wrong")], "cluster_id int, posts string")
 
