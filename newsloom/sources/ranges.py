@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.sources.scratch import folder
+from newsloom.sources.scratch import written
 
 #: Ranges of one read. Their table (path, place and state, up to about 200 bytes each) is broadcast: a shuffle would lose the order of lines.
 MAX_RANGES = 1_000_000
@@ -27,12 +27,6 @@ _PIECES = "ord long, piece int, text string"
 _WHOLE, _BEGINS, _GOES_ON = 0, 1, 2
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"),
@@ -89,12 +83,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """(ord, head, text): the records of a CSV file or folder in the order of ``ord``; ``head`` marks the first of each file.
     Blank lines outside quotes are no records; a quote that is never closed makes the rest of its file one record."""
     lines = _lines(spark, path)
-    ranges = _written(_ranges(lines), "csv-ranges")
+    ranges = written(_ranges(lines), "csv-ranges")
     n = ranges.count()
     if n > MAX_RANGES:
         raise ValueError(f"{n} ranges are more than {MAX_RANGES}: read parts of the folder, or raise spark.sql.files.maxPartitionBytes")
     pieces = lines.join(F.broadcast(ranges), ["path", "start"]).select("number", "inside", "quotes", "line").mapInPandas(_pieces, _PIECES)
-    cut = _written(pieces.where(F.col("piece") != _WHOLE), "csv-pieces")
+    cut = written(pieces.where(F.col("piece") != _WHOLE), "csv-pieces")
     found = pieces.where(F.col("piece") == _WHOLE).select("ord", "text").unionByName(_joined(cut))
     firsts = ranges.groupBy("path").agg(F.min("number").cast("long").alias("n")).select(F.shiftleft("n", LINE_BITS).alias("ord"), F.lit(True).alias("head"))
     named = found.join(F.broadcast(firsts), "ord", "left").withColumn("head", F.coalesce("head", F.lit(False)))
