@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.catalog import _COHERENCE_CTE, _FIRED_CTE, _FLAGS, _PR, ALERTS_CTE, CELLS_CTE, METRICS_CTE, ORACLES, SIGNALS_CTE, H, _read, _rounded, _signals, alert_rows, cluster_signals, query, review_rows, scored_rows
-from newsloom.operators import classifier, evaluation, generation, index, lookups, monitor, splits
+from newsloom.operators import classifier, evaluation, generation, index, lookups, monitor, sketches, splits
 from newsloom.operators.signals import with_reviews
 from newsloom.plans import batch, replay
 from newsloom.sources.articles import ARTICLES_SQL, from_tables, record_reviews
@@ -284,3 +284,23 @@ def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, asked = folder(spark, "index"), v.where("vec_id = 7").first()
     index.build(v, at)
     return _rounded(index.search(spark, at, asked.embedding if asked else [], 20, None))
+
+
+# --- sketches --------------------------------------------------------------------------------------------------------
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_tables(spark, sf_dir).select("cluster_id", "published_at", "id", F.posexplode("keywords").alias("place", "keyword"))
+
+
+@query("keyword_topn_sketch", ORACLES["keyword_topn"])
+def keyword_topn_sketch(spark, sf_dir):  # noqa: ANN001, ANN201
+    found = sketches.frequent(_words(spark, sf_dir), "keyword", ("cluster_id",), ties=("published_at", "id", "place"))
+    return found.select("cluster_id", "rank", F.col("value").alias("keyword"), "n")
+
+
+@query("keyword_topn_windows", f"""WITH {ARTICLES_SQL}, k AS (SELECT epoch_us(published_at) AS us, unnest(keywords) AS keyword FROM articles), l AS (SELECT us - (SELECT min(us) FROM k WHERE keyword IS NOT NULL) AS t, keyword FROM k),
+  w AS (SELECT unnest(range(greatest((t - {6 * H}) // {H} + 1, 0), t // {H} + 1)) AS w, keyword FROM l WHERE keyword IS NOT NULL), c AS (SELECT w, keyword, count(*) AS n FROM w GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, keyword) AS rank FROM c) SELECT w, CAST(rank AS INTEGER) AS rank, keyword, n FROM r WHERE rank <= 10""")
+def keyword_topn_windows(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sketches.frequent(_words(spark, sf_dir), "keyword", ts="published_at", size="6h", step="1h").select("w", "rank", F.col("value").alias("keyword"), "n")
