@@ -300,7 +300,7 @@ def keyword_topn_sketch(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("keyword_topn_windows", f"""WITH {ARTICLES_SQL}, k AS (SELECT epoch_us(published_at) AS us, unnest(keywords) AS keyword FROM articles), l AS (SELECT us - (SELECT min(us) FROM k WHERE keyword IS NOT NULL) AS t, keyword FROM k),
-  w AS (SELECT unnest(range(greatest((t - {6 * H}) // {H} + 1, 0), t // {H} + 1)) AS w, keyword FROM l WHERE keyword IS NOT NULL), c AS (SELECT w, keyword, count(*) AS n FROM w GROUP BY ALL),
+  w AS (SELECT unnest(range(greatest(t // {H} - 5, 0), t // {H} + 1)) AS w, keyword FROM l WHERE keyword IS NOT NULL), c AS (SELECT w, keyword, count(*) AS n FROM w GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, keyword) AS rank FROM c) SELECT w, CAST(rank AS INTEGER) AS rank, keyword, n FROM r WHERE rank <= 10""")
 def keyword_topn_windows(spark, sf_dir):  # noqa: ANN001, ANN201
     return sketches.frequent(_words(spark, sf_dir), "keyword", ts="published_at", size="6h", step="1h").select("w", "rank", F.col("value").alias("keyword"), "n")
