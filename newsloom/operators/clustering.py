@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.sources.scratch import written
+
 #: Distances that a clustering task holds at once, about: rows are taken in blocks of so many pairs.
 BLOCK_PAIRS = 4_000_000
 
-#: Rows of a block. Tables of more rows are clustered by pairs of blocks, a task each.
+#: Rows of a block. Tables of more rows are clustered by pairs of lots of blocks, a task each.
 TILE = 2048
 
-#: Tasks that pairs of blocks are spread over, if there are as many.
-MIN_TASKS = 200
+#: Blocks of a lot at most: a task holds the vectors of two lots. A group has LOTS lots, if it has as many blocks.
+FOREST_FAN, LOTS = 16, 10
 
-#: Forests that one task joins.
-FOREST_FAN = 16
+#: Others that are listed for a point at least, the nearest; and points that are held against a block at once.
+NEAREST, STRIP = 8, 512
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,6 +76,104 @@ class Sets:
         return a != b
 
 
+class Lot:
+    """Points of some blocks, each with the nearest others found so far: lengths, codes and copies. A length is the distance, or the
+    greatest of it and both points' ``core``. Only lengths under a point's ``bound`` count."""
+
+    def __init__(self, x: np.ndarray, code: np.ndarray, copies: np.ndarray, k: int, core: np.ndarray | None = None, part: np.ndarray | None = None, bound: np.ndarray | None = None) -> None:
+        n = len(x)
+        self.x, self.code, self.copies, self.part = x, code, copies, part
+        self.core = np.zeros(n) if core is None else core
+        self.bound = np.full(n, np.inf) if bound is None else bound.copy()
+        self.length, self.other, self.many = np.full((n, k), np.inf), np.full((n, k), -1), np.zeros((n, k), int)
+
+    def least(self, s: np.ndarray, at: slice, scale: float, slack: float) -> np.ndarray:
+        """The scores, minus half the squared distance over the scale, that the points ``at`` (rows of s) take notice of."""
+        low, k = (-((self.bound[at] / scale) ** 2) / 2 - slack).astype(s.dtype), self.length.shape[1]
+        new = np.flatnonzero(np.isinf(low))
+        if len(new) and s.shape[1] > k:
+            low[new] = np.partition(s[new], -k, axis=1)[:, -k] - slack
+        return low
+
+    def offer(self, at: np.ndarray, length: np.ndarray, code: np.ndarray, copies: np.ndarray) -> None:
+        good = length < self.bound[at]
+        if not good.any():
+            return
+        at, length, code, copies = at[good], length[good], code[good], copies[good]
+        rows, k = np.unique(at), self.length.shape[1]
+        at = np.concatenate([np.repeat(rows, k), at])
+        length, code, copies = (np.concatenate([old[rows].ravel(), new]) for old, new in ((self.length, length), (self.other, code), (self.many, copies)))
+        order = np.lexsort((code, length, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        order, at, rank = order[rank < k], at[rank < k], rank[rank < k]
+        self.length[at, rank], self.other[at, rank], self.many[at, rank] = length[order], code[order], copies[order]
+        self.bound[rows] = np.minimum(self.bound[rows], self.length[rows, -1])
+
+
+def meet(a: Lot, b: Lot, both: bool) -> None:
+    """Offer the points of b to those of a and, if ``both``, those of a to b's. A product of matrices tells which pairs may count,
+    in single precision unless that leaves many; their lengths are taken from the differences. Points of one ``part`` don't meet."""
+    middle = b.x.mean(0)
+    scale = np.sqrt(max(((v.x - middle) ** 2).sum(1).max() for v in (a, b))) or 1.0
+    p, q = (a.x - middle) / scale, (b.x - middle) / scale
+    pp, qq = (p**2).sum(1), (q**2).sum(1)
+    p, q = np.column_stack([p, np.ones(len(p)), -pp / 2]), np.column_stack([q, -qq / 2, np.ones(len(q))])
+    tries = [(p.astype(np.float32), q.astype(np.float32), 4e-7 * p.shape[1]), (p, q, 2e-12)]  # with what rounding may hide
+    for i in range(0, len(p), STRIP):
+        for j in range(0, len(q), TILE):
+            rows, columns = slice(i, min(i + STRIP, len(p))), slice(j, min(j + TILE, len(q)))
+            for left, right, slack in tries:
+                s = left[rows] @ right[columns].T
+                if a is b:
+                    same = np.arange(max(i, j), max(i, j, min(rows.stop, columns.stop)))
+                    s[same - i, same - j] = -np.inf
+                if a.part is not None:
+                    s[a.part[rows, None] == b.part[None, columns]] = -np.inf
+                hits = s > a.least(s, rows, scale, slack)[:, None]
+                if both:
+                    hits |= s > b.least(s.T, columns, scale, slack)[None, :]
+                if np.count_nonzero(hits) < hits.size / 32:
+                    break
+            found = np.flatnonzero(hits)
+            for at in range(0, len(found), 65_536):
+                r, c = np.divmod(found[at : at + 65_536], s.shape[1])
+                r, c = r + i, c + j
+                length = np.maximum(np.sqrt(((a.x[r] - b.x[c]) ** 2).sum(1)), np.maximum(a.core[r], b.core[c]))
+                a.offer(r, length, b.code[c], b.copies[c])
+                if both:
+                    b.offer(c, length, a.code[r], a.copies[r])
+
+
+def grow(part: np.ndarray, radius: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, chosen, bound) of points and listed edges (w, a, b) in order. Each part in turn takes its shortest edge to another,
+    if no point of it has a radius under that: edges that are not listed are at least that long, so it is an edge of a least
+    spanning tree. ``part`` is a point of each point's part, ``chosen`` tells the edges taken, ``bound`` is the shortest listed
+    edge out of each point's part."""
+    n, chosen, live = len(part), np.zeros(len(w), bool), np.arange(len(w))
+    while True:
+        p, q = part[a[live]], part[b[live]]
+        live, p, q = live[p != q], p[p != q], q[p != q]
+        first = np.full(n, len(live))
+        np.minimum.at(first, p, np.arange(len(live)))
+        np.minimum.at(first, q, np.arange(len(live)))
+        least = np.full(n, np.inf)
+        np.minimum.at(least, part, radius)
+        out = np.append(w[live], np.inf)[first]
+        sure = np.flatnonzero((first < len(live)) & (out <= least))
+        if not len(sure):
+            return part, chosen, out[part]
+        edge = first[sure]
+        chosen[live[edge]] = True
+        up = np.arange(n)
+        up[sure] = np.where(p[edge] == sure, q[edge], p[edge])
+        top = (up[up] == np.arange(n)) & (np.arange(n) < up)  # of two that chose one edge
+        up[top] = np.flatnonzero(top)
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+
+
 def cut_tree(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
     """Labels of n points from the edges of their spanning tree, in order: condensed tree, excess of mass. Merges of one height
     are one merge of many, so the order of ties does not matter. Memory grows with the points."""
@@ -172,14 +273,12 @@ def _vectors(rows: pd.DataFrame) -> np.ndarray:
 
 def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", vector: str = "embedding", min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:
     """(group, id, cluster) of every vector, all at once or each group (a window, a topic) clustered apart; -1 is noise. A null
-    vector raises. If a group has more than TILE rows, distances are made by pairs of blocks; otherwise a task clusters a
+    vector raises. If a group has more than TILE rows, neighbours are found by pairs of lots; otherwise a task clusters a
     group. The results are the same."""
     rows = vectors.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / TILE)
-    found = sizes.agg(F.max("n").alias("largest"), F.sum(blocks * (blocks + 1) / 2).cast("long").alias("pairs")).first()
-    if (found.largest or 0) > TILE:
-        return _cluster_tiled(rows, sizes, found.largest, found.pairs, min_cluster_size, min_samples)
+    if (sizes.agg(F.max("n")).first()[0] or 0) > TILE:
+        return _cluster_lots(rows, min_cluster_size, min_samples)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -188,72 +287,144 @@ def cluster(vectors: DataFrame, group: str | None = None, id_: str = "vec_id", v
     return rows.groupBy("group").applyInPandas(run, "group string, id long, cluster int")
 
 
-def _cluster_tiled(rows: DataFrame, sizes: DataFrame, largest: int, pairs: int, min_cluster_size: int, min_samples: int) -> DataFrame:
-    """cluster() of groups of any size. Rows are dealt to blocks of about TILE. Each pair of blocks gives the nearest distances
-    of its rows and, once all are known, the spanning tree of its mutual reachabilities. An edge of the whole tree is in the
-    tree of every part that holds it, so the trees are joined, FOREST_FAN at a time, without loss. Vectors meet by two blocks
-    only; the last task of a group holds an edge and an id for each of its rows."""
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = rows.join(sizes.withColumnRenamed("group", "__g"), F.col("group").eqNullSafe(F.col("__g"))).drop("__g").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("long"))
-    place = F.row_number().over(Window.partitionBy("group", "block").orderBy("id", "x"))
-    points = dealt.withColumn("code", F.col("block") * (1 << 31) + place)
-
-    def tiles(points: DataFrame) -> DataFrame:
-        met = points.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-
-    tasks = min(pairs, max(MIN_TASKS, pairs // 8))  # by pairs, which cost more than their bytes tell
-
-    def nearest(tile: pd.DataFrame) -> pd.DataFrame:
-        x, codes, first = _vectors(tile), tile["code"].to_numpy(), (tile["block"] == tile["i"]).to_numpy()
-        within = tile["i"].iat[0] == tile["j"].iat[0]
+def _numbers(*arrays: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+
+
+def _lot(blocks: pd.DataFrame, k: int) -> Lot:
+    x = np.concatenate([np.frombuffer(r.x).reshape(r.n, -1) for r in blocks.itertuples()])
+    code = np.concatenate([(r.block << 31) + np.arange(r.n) for r in blocks.itertuples()])
+    return Lot(x, code, np.concatenate([np.frombuffer(r.copies, int) for r in blocks.itertuples()]), k)
+
+
+def _cluster_lots(rows: DataFrame, min_cluster_size: int, min_samples: int) -> DataFrame:
+    """cluster() of groups of any size. Equal vectors are one point with copies. Points are dealt to blocks of about TILE, and those
+    to lots; each pair of lots gives the nearest points of its points. A least spanning tree grows from these lists as far as they
+    are sure to hold the edge that is next, see grow(); parts that are left, but for the largest, look for others outside, until
+    one is left. Vectors meet by two lots only; the tasks of a whole group hold ids and listed edges, no vectors."""
+    k = max(NEAREST, 2 * min_samples)
+    rows = rows.withColumn("group", F.coalesce(F.concat(F.lit("="), "group"), F.lit("")))
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    sizes = sizes.withColumn("fan", F.greatest(F.lit(1), F.least(F.lit(FOREST_FAN), F.floor(F.col("blocks") / LOTS)))).withColumn("lots", F.ceil(F.col("blocks") / F.col("fan")))
+    dealt = rows.groupBy("group", "x").agg(F.min("id").alias("id"), F.count("*").alias("copies")).join(sizes, "group")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks"))).withColumn("lot", F.floor(F.col("block") / F.col("fan")))
+    place = F.row_number().over(Window.partitionBy("group", "block").orderBy("id", "x")) - 1
+    points = written(dealt.withColumn("code", F.shiftleft("block", 31) + place).select("group", "id", "x", "copies", "block", "lot", "lots", "code"), "points")
+
+    def pack(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("code")
+        x = _vectors(points)
+        if not (np.abs(x) < 1e150).all():
+            raise ValueError("a component of a vector is not finite, or too large to be squared")
+        packed, copies = _numbers(x, points["copies"].to_numpy(int))
+        return points.iloc[:1][["group", "block", "lot", "lots"]].assign(n=len(points), x=packed, copies=copies)
+
+    blocks = written(points.groupBy("group", "block").applyInPandas(pack, "group string, block long, lot long, lots long, n long, x binary, copies binary"), "blocks")
+
+    def listed(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("block")
+        first, within = pair["lot"] == pair["i"], pair["i"].iat[0] == pair["j"].iat[0]
+        sides = [s for s in (pair[first], pair[~first]) if len(s)]
+        lots = [_lot(s, k) for s in sides]
+        if within:
+            meet(lots[0], lots[0], False)
+        elif len(lots) > 1:
+            meet(*lots, True)
         out = []
-        for a, b in [(first, first)] if within else [(first, ~first), (~first, first)]:
-            k = min(min_samples, int(b.sum()))
-            near = np.partition(distances(x[a], x[b]), k - 1, axis=1)[:, :k] if k else np.empty((int(a.sum()), 0))
-            out.append(pd.DataFrame({"group": tile["group"].iat[0], "code": codes[a], "near": list(near)}))
-        return pd.concat(out)
-
-    found = tiles(points).select("group", "code", "block", "i", "j", "x").repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(nearest, "group string, code long, near array<double>")
-    kth = F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, min_samples), -1)
-    cores = found.groupBy(F.col("group").alias("__g"), F.col("code").alias("__c")).agg(kth.alias("core"))
-    reached = points.join(cores, F.col("group").eqNullSafe(F.col("__g")) & (F.col("code") == F.col("__c"))).drop("__g", "__c")
-
-    def tree(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("code")
-        x, codes, core, i = _vectors(tile), tile["code"].to_numpy(), tile["core"].to_numpy(), (tile["block"] == tile["i"]).to_numpy()
-        d = np.empty((len(x), len(x)))
-        for a, b in ((i, i), (i, ~i), (~i, ~i)):  # the same products in every tile, so that an edge has one length
-            d[np.ix_(a, b)] = part = distances(x[a], x[b])
-            d[np.ix_(b, a)] = part.T
-        edges = spanning_tree(len(x), lambda p: np.maximum(d[p], np.maximum(core[p], core)))
-        w, a, b = zip(*edges, strict=True) if edges else ((), (), ())
-        return pd.DataFrame({"group": tile["group"].iat[0], "t": tile["i"].iat[0] * tile["blocks"].iat[0] + tile["j"].iat[0], "w": np.array(w, float), "a": codes[list(a)], "b": codes[list(b)]})
-
-    schema = "group string, t long, w double, a long, b long"
-    forests = tiles(reached).where("i < j or blocks = 1").select("group", "code", "block", "blocks", "i", "j", "x", "core").repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(tree, schema)
-
-    def joined(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["w", "a", "b"])
-        names, ends = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
-        sets, ends = Sets(len(names)), ends.reshape(-1, 2).tolist()
-        return edges[[sets.join(a, b) for a, b in ends]]
-
-    trees = (-(-largest // TILE)) ** 2
-    while trees > FOREST_FAN:
-        forests = forests.withColumn("t", F.floor(F.col("t") / FOREST_FAN)).groupBy("group", "t").applyInPandas(joined, schema)
-        trees = -(-trees // FOREST_FAN)
+        for side, lot in zip(sides, lots, strict=True):
+            at = 0
+            for r in side.itertuples():
+                out.append((r.group, r.block, r.copies, *_numbers(*(v[at : at + r.n] for v in (lot.length, lot.other, lot.many)))))
+                at += r.n
+        return pd.DataFrame(out, columns=["group", "block", "copies", "length", "other", "many"])
+
+    def nearest(lists: pd.DataFrame) -> pd.DataFrame:
+        length, other, many = (np.concatenate([np.frombuffer(v, t).reshape(-1, k) for v in lists[c]], axis=0).reshape(len(lists), -1, k).swapaxes(0, 1) for c, t in (("length", float), ("other", int), ("many", int)))
+        length, other, many = (v.reshape(len(v), -1) for v in (length, other, many))
+        order = np.lexsort((other, length), axis=1)[:, :k]
+        length, other, many = (np.take_along_axis(v, order, axis=1) for v in (length, other, many))
+        counted = np.frombuffer(lists["copies"].iat[0], int)[:, None] + np.pad(many, ((0, 0), (1, 0))).cumsum(1)
+        there = np.isfinite(length).sum(1)
+        core = np.pad(length, ((0, 0), (1, 0)))[np.arange(len(length)), np.minimum((counted < min_samples).sum(1), there)]
+        block = lists["block"].iat[0]
+        return pd.DataFrame({"group": lists["group"].iat[0], "code": (block << 31) + np.arange(len(length)), "core": core, "radius": length[:, -1], "near": [list(o[:m]) for o, m in zip(other, there, strict=True)], "length": [list(o[:m]) for o, m in zip(length, there, strict=True)]})
+
+    tasks = blocks.select("group", "lots").distinct().agg(F.sum(F.col("lots") * (F.col("lots") + 1))).first()[0]  # two for a pair, as hashes put several pairs into one
+    met = blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).withColumns({"i": F.least("lot", "to"), "j": F.greatest("lot", "to")})
+    found = met.repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(listed, "group string, block long, copies binary, length binary, other binary, many binary")
+    lists = written(found.groupBy("group", "block").applyInPandas(nearest, "group string, code long, core double, radius double, near array<long>, length array<double>"), "lists")
+
+    ends = [F.least("code", "near").alias("a"), F.greatest("code", "near").alias("b")]
+    cores = lists.select("group", F.col("code").alias("near"), F.col("core").alias("its"))
+    edges = lists.select("group", "code", "core", F.explode(F.arrays_zip("near", "length")).alias("e")).select("group", "code", "core", "e.near", "e.length")
+    edges = written(edges.join(cores, ["group", "near"]).select("group", F.greatest("length", "core", "its").alias("w"), *ends).distinct(), "edges")
+    reach, taken = lists.select("group", "code", "radius"), None
+
+    def spread(key: tuple, table: pa.Table) -> pa.Table:
+        kind, w, a, b, radius = (table[c].to_numpy() for c in ("kind", "w", "a", "b", "radius"))
+        order = np.argsort(a[kind == 0])
+        code, radius = a[kind == 0][order], radius[kind == 0][order]
+        part = np.arange(len(code))
+        for wanted in (2, 1):  # edges taken before, then the listed ones
+            e = np.flatnonzero(kind == wanted)
+            e = e[np.lexsort((b[e], a[e], w[e]))]
+            part, chosen, bound = grow(part, radius if wanted == 1 else np.full(len(code), np.inf), w[e], np.searchsorted(code, a[e]), np.searchsorted(code, b[e]))
+            kept = e if wanted == 2 else np.concatenate([kept, e[chosen]])  # noqa: F821
+        size = np.bincount(part, minlength=len(code))
+        ask = (part != size.argmax()) & (radius < bound)
+        n, m = len(code), len(kept)
+        columns = {"kind": np.repeat(np.array([0, 2], np.int32), [n, m]), "w": np.append(np.where(ask, bound, 0.0), w[kept]), "a": np.append(code, a[kept]), "b": np.append(code[part], b[kept]), "radius": np.append(radius, np.zeros(m)), "ask": np.append(ask, np.zeros(m, bool))}
+        return pa.table({"group": pa.array([key[0].as_py()] * (n + m)), **{c: pa.array(v) for c, v in columns.items()}})
+
+    def asked(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"group": np.empty(0, object), "code": np.empty(0, int), "near": np.empty(0, int), "w": np.empty(0)})
+        sides = [Lot(_vectors(s), s["code"].to_numpy(), np.ones(len(s), int), k, s["core"].to_numpy(), s["part"].to_numpy(), bound) for s, bound in ((left, left["w"].to_numpy()), (right, None))]
+        meet(*sides, False)
+        at, rank = np.nonzero(np.isfinite(sides[0].length))
+        return pd.DataFrame({"group": key[0], "code": sides[0].code[at], "near": sides[0].other[at, rank], "w": sides[0].length[at, rank]})
+
+    none = F.lit(0.0)
+    while True:
+        parts = reach.select("group", F.lit(0).alias("kind"), none.alias("w"), F.col("code").alias("a"), F.col("code").alias("b"), "radius")
+        parts = parts.unionByName(edges.select("group", F.lit(1).alias("kind"), "w", "a", "b", none.alias("radius")))
+        parts = parts.unionByName(taken.select("group", "kind", "w", "a", "b", "radius")) if taken is not None else parts
+        state = written(parts.groupBy("group").applyInArrow(spread, "group string, kind int, w double, a long, b long, radius double, ask boolean"), "parts")
+        taken = state.where("kind = 2")
+        open_ = state.where("ask").count()
+        if not open_:
+            break
+        known = points.join(state.where("kind = 0").select("group", F.col("a").alias("code"), F.col("b").alias("part"), "w", "radius", "ask"), ["group", "code"]).join(lists.select("group", "code", "core"), ["group", "code"])
+        known = written(known.select("group", "code", "x", "core", "part", "lot", "lots", "w", "radius", "ask"), "known")
+        several = F.lit(-(-open_ // (TILE * FOREST_FAN))).cast("long")
+        asking = written(known.where("ask"), "asking")
+        left = asking.withColumn("i", F.pmod(F.xxhash64("code"), several)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+        right = known.join(asking.select(F.col("group").alias("its")).distinct(), F.col("group") == F.col("its"), "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), several - 1))).withColumn("j", F.col("lot"))
+        keys, shown = ["group", "i", "j"], ["group", "i", "j", "code", "x", "core", "part", "w"]
+        heard = left.select(*shown).groupBy(*keys).cogroup(right.select(*shown).groupBy(*keys)).applyInPandas(asked, "group string, code long, near long, w double")
+        heard = written(heard, "heard")
+        edges = edges.unionByName(heard.select("group", "w", *ends))
+        kth = F.get(F.sort_array(F.collect_list(heard["w"])), F.lit(k - 1))
+        farther = heard.groupBy("group", "code").agg(kth.alias("kth"))
+        reach = known.join(farther, ["group", "code"], "left").select("group", "code", F.when(F.col("ask"), F.least("w", "kth")).otherwise(F.col("radius")).alias("radius"))
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        points = rows[rows["w"].isna()].sort_values(["b", "a"])
-        edges = rows[rows["w"].notna()].sort_values(["w", "a", "b"])
-        at = pd.Series(np.arange(len(points)), index=points["a"].to_numpy())
-        listed = list(zip(edges["w"].tolist(), at.loc[edges["a"]].tolist(), at.loc[edges["b"]].tolist(), strict=True))
-        return pd.DataFrame({"group": points["group"], "id": points["b"], "cluster": cut_tree(len(points), listed, min_cluster_size)})
-
-    named = points.select("group", F.lit(None).cast("double").alias("w"), F.col("code").alias("a"), F.col("id").alias("b"))
-    return forests.select("group", "w", "a", "b").unionByName(named).groupBy("group").applyInPandas(label, "group string, id long, cluster int")
+        named, edges = rows[rows["kind"] == 0].sort_values(["id", "a"]), rows[rows["kind"] == 2]
+        code, first, at = np.unique(named["a"].to_numpy(), return_index=True, return_inverse=True)
+        w, own = named["w"].to_numpy(), np.arange(len(named))
+        copy = own != first[at]  # as near as their core to the first of their kind
+        w = np.append(edges["w"].to_numpy(), w[copy])
+        a, b = (np.append(first[np.searchsorted(code, edges[c].to_numpy())], v[copy]) for c, v in (("a", first[at]), ("b", own)))
+        order = np.lexsort((b, a, w))
+        listed = list(zip(w[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True))
+        return pd.DataFrame({"group": named["group"], "id": named["id"], "cluster": cut_tree(len(named), listed, min_cluster_size)})
+
+    single = points.where("copies = 1").select("group", F.lit(0).alias("kind"), none.alias("w"), F.col("code").alias("a"), F.lit(0).cast("long").alias("b"), "id")
+    repeated = points.where("copies > 1").join(lists.select("group", "code", "core"), ["group", "code"]).select("group", "x", "code", "core")
+    repeated = rows.join(repeated, ["group", "x"]).select("group", F.lit(0).alias("kind"), F.col("core").alias("w"), F.col("code").alias("a"), F.lit(0).cast("long").alias("b"), "id")
+    whole = single.unionByName(repeated).unionByName(taken.select("group", "kind", "w", "a", "b", F.lit(0).cast("long").alias("id")))
+    out = whole.groupBy("group").applyInPandas(label, "group string, id long, cluster int")
+    return out.select(F.when(F.col("group") != "", F.expr("substring(group, 2)")).alias("group"), "id", "cluster")
 
 
 def update_clusters(new: DataFrame, existing: DataFrame, partition: str, threshold: float = 0.85, min_cluster_size: int = 3, min_samples: int = 2) -> DataFrame:

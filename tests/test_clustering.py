@@ -134,6 +134,38 @@ def test_pairs_of_blocks_agree(spark, monkeypatch):
         assert [found[g, i] for i in range(len(x))] == clustering.hdbscan(x, 4).tolist()
 
 
+@pytest.mark.parametrize(("least", "samples"), [(3, 2), (5, 12), (2, 1)])
+def test_parts_far_apart_and_many_copies(spark, monkeypatch, least, samples):
+    """Parts whose listed neighbours are all their own look for others outside; copies are one point to their neighbours."""
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(60, 3)) + c for c in ([0, 0, 0], [40, 0, 0], [0, 90, 0], [40, 1, 90])])
+    x = np.concatenate([x, np.repeat(x[5:6], 50, axis=0), x[100:104], draw.normal(size=(30, 3)) * 1e-4 + 7])
+    x = x[draw.permutation(len(x))]
+    looked, inside = [], clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, name: looked.append(name) or inside(df, name))
+    monkeypatch.setattr(clustering, "TILE", 40)
+    monkeypatch.setattr(clustering, "FOREST_FAN", 2)
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.id: r.cluster for r in clustering.cluster(table, None, min_cluster_size=least, min_samples=samples).collect()}
+    assert "heard" in looked
+    assert [found[i] for i in range(len(x))] == clustering.hdbscan(x, least, samples).tolist()
+
+
+def test_lists_are_the_nearest(monkeypatch):
+    """Both sides of two lots, strip by strip, copies of a vector and a lot with itself, against all distances."""
+    monkeypatch.setattr(clustering, "STRIP", 7)
+    monkeypatch.setattr(clustering, "TILE", 9)
+    x = np.random.default_rng(8).normal(size=(70, 5)) + 1000
+    a, b, own = (clustering.Lot(v, np.arange(len(v)), np.ones(len(v), int), 4) for v in (x[:30], x[30:], x))
+    clustering.meet(a, b, True)
+    clustering.meet(own, own, False)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.array_equal(a.length, np.sort(d[:30, 30:], axis=1)[:, :4])
+    assert np.array_equal(b.length, np.sort(d[30:, :30], axis=1)[:, :4])
+    assert np.array_equal(own.length, np.sort(d, axis=1)[:, 1:5])
+    assert np.array_equal(own.other, np.argsort(d, axis=1)[:, 1:5])
+
+
 def test_null_vectors_raise_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(clustering, "TILE", 1)
     table = spark.createDataFrame([(1, [1.0]), (2, None)], "vec_id long, embedding array<double>")
