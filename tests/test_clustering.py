@@ -198,3 +198,24 @@ def test_sequential_assignment_by_definition(spark):
     out = clustering.update_clusters(new, old, "topic", 0.8).collect()
     assert left
     assert {r.id: (r.cluster, round(r.similarity, 9)) for r in out} == expected
+
+
+def test_what_joins_none_is_clustered_by_lots(spark, monkeypatch):
+    """Left vectors are numbered in order of arrival, on from the greatest cluster of their part, by whatever way they are clustered."""
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(90, 4)) + np.repeat([[9, 0, 0, 0], [0, 9, 0, 0], [0, 0, 9, 0]], 30, axis=0)
+    rows = [(i, p.tolist(), f"s{i % 2}", int(t)) for i, (p, t) in enumerate(zip(x, draw.permutation(90), strict=True))]
+    new = spark.createDataFrame(rows, "id long, embedding array<double>, topic string, t int").selectExpr("*", "timestamp_ntz'2024-01-01' + make_dt_interval(t) as ts")
+    old = spark.createDataFrame([(5, [9.0, 0.0, 0.0, 0.0], 2, "s0")], "cluster long, centroid array<double>, size long, topic string")
+    monkeypatch.setattr(clustering, "TILE", 10)
+    lots, run = [], clustering._cluster_lots
+    monkeypatch.setattr(clustering, "_cluster_lots", lambda *a: lots.append(a) or run(*a))
+    found = {r.id: (r.cluster, r.similarity) for r in clustering.update_clusters(new, old, "topic", 0.7).collect()}
+    assert lots
+    assert len(found) == 90
+    assert {i % 2 for i, (c, _) in found.items() if c == 5 and found[i][1] > 0} == {0}
+    for part, top in ((0, 6), (1, 0)):
+        left = sorted((i for i, (_, s) in found.items() if i % 2 == part and s == 0), key=lambda i: (rows[i][3], i))
+        labels = clustering.hdbscan(x[left])
+        assert labels.max() > 0
+        assert [found[i][0] for i in left] == [top + k if k >= 0 else -1 for k in labels.tolist()]
